@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["basic"]
+MODULES = ["basic", "graphs"]
 
 
 def _load():
