@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["basic", "graphs"]
+MODULES = ["basic", "graphs", "search"]
 
 
 def _load():
