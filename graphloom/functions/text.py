@@ -50,3 +50,11 @@ def safe_file_name(name) -> Column:
 
 def iso_time(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+# Fixed value: characters that count as white space at the ends of a text.
+SPACES = " \t\n\r\x0b\x0c                 　﻿"
+
+
+def strip(text) -> Column:
+    return F.btrim(text, F.lit(SPACES))

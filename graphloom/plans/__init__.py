@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["basic", "graphs", "search"]
+MODULES = ["basic", "graphs", "search", "writes"]
 
 
 def _load():

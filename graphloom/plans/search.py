@@ -341,15 +341,3 @@ q AS (SELECT n_nationkey::BIGINT AS qid, 'How is ' || n_name || ' linked to ' ||
 h AS (SELECT qid, id, name, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM q JOIN ent ON length(name) >= 2 AND contains(text, name))
 SELECT qid, id, name, rank::INTEGER AS rank FROM h WHERE rank <= 10""")
 
-
-@query
-def mentions_in_documents(spark, sf_dir):
-    """Entities named in the whole text of any document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text")
-    return Q.mentions(docs, store(spark, sf_dir).entities, cap=None).select("qid", "id", "name")
-
-
-ORACLES["mentions_in_documents"] = sql(ENT, body=""",
-nm AS (SELECT DISTINCT name FROM ent WHERE length(name) >= 2),
-h AS (SELECT doc_id AS qid, name FROM documents JOIN nm ON contains(text, name))
-SELECT qid, id, name FROM h JOIN ent USING (name)""")

@@ -74,31 +74,32 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
 
 
 def running(df: DataFrame, key, order: str, last=(), sums=(), bucket: int = 65536) -> DataFrame:
-    """Per ``key``, values as of each row, the row itself included: last non-null of ``last`` columns
-    (as ``cur_<c>``) and running totals of ``sums`` columns (as ``cur_<c>``).
+    """Per ``key``, values before each row: last non-null of the ``last`` columns and totals of the
+    ``sums`` columns, as ``prev_<column>``.
 
     ``order`` is a BIGINT column, unique within a key. Long keys are cut into buckets of that order, so
     no task sees more than one bucket of a key, and buckets are carried over by their summaries.
     """
     keys = [key] if isinstance(key, str) else list(key)
     b = df.withColumn("_b", F.floor(F.col(order) / bucket))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda w, o: w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    inside = before(Window.partitionBy(*keys, "_b"), order)
+    carry = before(Window.partitionBy(*keys), "_b")
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}") for c in last]
     aggs += [F.sum(c).alias(f"_s_{c}") for c in sums]
-    carry = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = b.groupBy(*keys, "_b").agg(*aggs).select(
         *keys, "_b",
         *[F.last(f"_l_{c}", True).over(carry).alias(f"_l_{c}") for c in last],
         *[F.sum(f"_s_{c}").over(carry).alias(f"_s_{c}") for c in sums],
     )
-    out = b
-    for c in last:
-        out = out.withColumn(f"_in_{c}", F.last(c, True).over(inside))
-    for c in sums:
-        out = out.withColumn(f"_in_{c}", F.sum(c).over(inside))
-    out = out.join(heads, [*keys, "_b"])
-    for c in last:
-        out = out.withColumn(f"cur_{c}", F.coalesce(f"_in_{c}", f"_l_{c}"))
-    for c in sums:
-        out = out.withColumn(f"cur_{c}", F.coalesce(F.col(f"_in_{c}"), F.lit(0)) + F.coalesce(F.col(f"_s_{c}"), F.lit(0)))
-    return out.drop("_b", *[f"_in_{c}" for c in (*last, *sums)], *[f"_l_{c}" for c in last], *[f"_s_{c}" for c in sums])
+    out = b.select(
+        "*",
+        *[F.last(c, True).over(inside).alias(f"_in_{c}") for c in last],
+        *[F.sum(c).over(inside).alias(f"_in_{c}") for c in sums],
+    ).join(heads, [*keys, "_b"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(
+        *df.columns,
+        *[F.coalesce(f"_in_{c}", f"_l_{c}").alias(f"prev_{c}") for c in last],
+        *[(zero(f"_in_{c}") + zero(f"_s_{c}")).alias(f"prev_{c}") for c in sums],
+    )
