@@ -15,7 +15,7 @@ from graphloom.functions.text import iso_time, strip
 from graphloom.graph import Graph
 from graphloom.operators import validate as V
 from graphloom.operators.frontier import union
-from graphloom.session import materialize, running, with_position
+from graphloom.session import fixed_now, materialize, running, with_position
 
 OP_KINDS = ["add_entity", "add_relation", "update_entity", "delete_entity", "update_relation", "delete_relation"]
 ALIAS_STRIDE = 1_000_000
@@ -64,7 +64,7 @@ def _join_errors(c):
 def apply_ops(g: Graph, ops: DataFrame, source: str = "OpenCode", marks: dict | None = None) -> ApplyResult:
     """Apply the OPS table in order of ``op_idx`` (from 1). The first bad operation rejects the batch."""
     marks = dict(marks or high_water(g))
-    now = F.current_timestamp()
+    now = fixed_now()
     have = set(ops.columns)
     ops = materialize(ops.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.OPS.fields]), "ops")
@@ -398,7 +398,7 @@ def add_aliases(g: Graph, requests: DataFrame) -> DataFrame:
 def commit_aliases(g: Graph, statuses: DataFrame, source: str = "手工", marks: dict | None = None) -> Graph:
     """Store the new aliases of :func:`add_aliases` with their log rows."""
     marks = marks or high_water(g)
-    now = F.current_timestamp()
+    now = fixed_now()
     new = materialize(_numbered(statuses.where("status = 201"), ["req_idx"], marks["aliases"], "id"), "aliases")
     rows = new.select("id", "entity_id", "alias", now.alias("created_at"))
     snap = F.to_json(F.struct(F.struct("id", "entity_id", "alias").alias("alias")))
@@ -414,7 +414,7 @@ def remove_aliases(g: Graph, ids: DataFrame, source: str = "手工", marks: dict
     found = g.aliases.join(want, "id", "left_semi")
     snap = F.to_json(F.struct(F.struct("id", "entity_id", "alias").alias("alias")))
     logs = _numbered(found.select(F.col("id").alias("alias_id"), snap.alias("snapshot")), ["alias_id"], marks["op_logs"], "id").select(
-        "id", F.lit("DELETE_ALIAS").alias("op_type"), "snapshot", F.current_timestamp().alias("created_at"), F.lit(source).alias("source"))
+        "id", F.lit("DELETE_ALIAS").alias("op_type"), "snapshot", fixed_now().alias("created_at"), F.lit(source).alias("source"))
     status = want.join(found.select("id", F.lit(200).alias("s")), "id", "left").select("id", F.coalesce("s", F.lit(404)).alias("status"))
     out = g.with_tables(aliases=g.aliases.join(want, "id", "left_anti").select(*S.ALIASES.fieldNames()),
                         op_logs=g.op_logs.select(*logs.columns).unionByName(logs))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.functions.text import strip
-from graphloom.session import with_position
+from graphloom.session import fixed_now, with_position
 
 
 def add_images(images: DataFrame, owners: DataFrame, requests: DataFrame, owner: str = "entity_id", top_id: int = 0):
@@ -21,7 +21,7 @@ def add_images(images: DataFrame, owners: DataFrame, requests: DataFrame, owner:
     ok = with_position(r.where("status = 201"), "req_idx").select(
         (F.col("pos") + top_id + 1).alias("id"), owner, F.substring(text("filename"), 1, 200).alias("filename"),
         text("stored_path").alias("stored_path"), text("thumb_path").alias("thumb_path"),
-        F.substring(text("caption"), 1, 300).alias("caption"), F.current_timestamp().alias("created_at"))
+        F.substring(text("caption"), 1, 300).alias("caption"), fixed_now().alias("created_at"))
     cols = (S.ENTITY_IMAGES if owner == "entity_id" else S.RELATION_IMAGES).fieldNames()
     return images.select(*cols).unionByName(ok.select(*cols)), r.select("req_idx", "status")
 

@@ -12,7 +12,7 @@ from graphloom.functions.vectors import cosine
 from graphloom.graph import Graph
 from graphloom.operators.aggregates import incident_counts
 from graphloom.operators.match import incident
-from graphloom.session import materialize, with_position
+from graphloom.session import fixed_now, materialize, with_position
 
 RRF_K = 60
 SEARCH_MIN = 0.15
@@ -267,7 +267,7 @@ def embed_table(stale: DataFrame, fn: Callable[[list[str]], list[list[float]]])
                 yield pd.DataFrame({"entity_id": part["id"].to_numpy(), "text": part["text"].to_numpy(), "vector": list(vecs)})
 
     out = stale.select("id", "text").mapInPandas(embed, "entity_id long, text string, vector array<float>")
-    return out.withColumn("updated_at", F.current_timestamp())
+    return out.withColumn("updated_at", fixed_now())
 
 
 def embedding_status(g: Graph, configured: bool = True) -> DataFrame:

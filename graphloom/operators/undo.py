@@ -10,6 +10,7 @@ from graphloom import schema as S
 from graphloom.functions.text import iso_time
 from graphloom.graph import Graph
 from graphloom.operators.changes import high_water
+from graphloom.session import fixed_now
 
 LOOK_BACK = 100
 SKIPPED = ["UNDO", "ADD_RELATION_IMAGE"]
@@ -35,7 +36,7 @@ def undo_last(g: Graph, source: str = "手工", marks: dict | None = None):
     g, summary, caveats = _INVERSE[last["op_type"]](g, json.loads(last["snapshot"]))
     snap = json.dumps({"undone_log": last["id"], "undone_type": last["op_type"], "summary": summary, "caveats": caveats}, ensure_ascii=False)
     log = g.spark.createDataFrame([(marks["op_logs"] + 1, "UNDO", snap, source)], "id long, op_type string, snapshot string, source string")
-    log = log.withColumn("created_at", F.current_timestamp()).select(*S.OP_LOGS.fieldNames())
+    log = log.withColumn("created_at", fixed_now()).select(*S.OP_LOGS.fieldNames())
     return g.with_tables(op_logs=g.op_logs.select(*S.OP_LOGS.fieldNames()).unionByName(log)), summary, caveats
 
 

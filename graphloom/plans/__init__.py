@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["basic", "graphs", "search", "writes"]
+MODULES = ["basic", "graphs", "search", "writes", "documents"]
 
 
 def _load():

@@ -28,14 +28,14 @@ def validate_entities(spark, sf_dir):
 
 
 ORACLES["validate_entities"] = """WITH d AS (SELECT doc_id, text, lang, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)),
-e AS (SELECT *, list_filter([
+e AS (SELECT *, concat_ws('; ', 
   CASE WHEN trim(text, E' \\t\\n\\r') = '' THEN '实体名称必须为非空字符串' END,
   CASE WHEN length(text) > 200 THEN '实体名称长度不得超过200字符' END,
   CASE WHEN lang <> 'en' THEN '实体大类必须为以下4类之一: 物理实体 / 抽象实体 / 数值实体 / 时间实体' END,
   CASE WHEN toxic = 1 THEN '属性"a"的值必须为字符串/数值/布尔/空值(扁平三元组结构)，禁止嵌套对象或数组' END,
   CASE WHEN toxic = 1 THEN '属性键" "必须为非空字符串' END,
-  CASE WHEN (coalesce(toxic, 0) = 0 AND quality = 0) OR quality IS NULL THEN '属性(attributes)必须为JSON对象' END], x -> x IS NOT NULL) AS er FROM d)
-SELECT doc_id, coalesce(array_to_string(er, '; '), '') AS errors, CASE WHEN len(er) = 0 THEN length(trim(text, E' \\t\\n\\r'))::BIGINT END AS len FROM e"""
+  CASE WHEN (coalesce(toxic, 0) = 0 AND quality = 0) OR quality IS NULL THEN '属性(attributes)必须为JSON对象' END) AS er FROM d)
+SELECT doc_id, er AS errors, CASE WHEN er = '' THEN length(trim(text, E' \\t\\n\\r'))::BIGINT END AS len FROM e"""
 
 
 def relation_requests(spark, sf_dir):
@@ -59,14 +59,14 @@ def validate_relations(spark, sf_dir):
 ORACLES["validate_relations"] = """WITH r AS (SELECT *, 7000000000 + l_orderkey AS s,
   CASE l_linenumber WHEN 3 THEN 7000000000 + l_orderkey WHEN 4 THEN 0 ELSE 6000000000 + l_partkey END AS t,
   l_orderkey < (SELECT count(*) FROM customer) AS ok FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, coalesce(array_to_string(list_filter([
+SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('; ', 
   CASE WHEN l_linenumber = 4 THEN '终点实体id必须为正整数' END,
   CASE WHEN l_linenumber <> 4 AND NOT ok THEN '起点实体id=' || s || ' 不存在' END,
   CASE WHEN l_linenumber = 3 AND NOT ok THEN '终点实体id=' || t || ' 不存在' END,
   CASE WHEN l_linenumber = 3 THEN '起点与终点不能为同一实体' END,
   CASE WHEN l_returnflag = 'N' THEN '关系名称必须为非空字符串' END,
   CASE WHEN l_linestatus <> 'O' THEN '关系大类必须为以下5类之一: 空间 / 互动 / 归属 / 时间 / 属性' END,
-  CASE WHEN l_returnflag = 'N' THEN '置信度必须为以下3档之一: 确证 / 推测 / 存疑' END], x -> x IS NOT NULL), '; '), '') AS errors FROM r"""
+  CASE WHEN l_returnflag = 'N' THEN '置信度必须为以下3档之一: 确证 / 推测 / 存疑' END) AS errors FROM r"""
 
 
 @query
@@ -82,9 +82,9 @@ def validate_entity_patches(spark, sf_dir):
 ORACLES["validate_entity_patches"] = """WITH c AS (SELECT o_orderkey AS k, o_orderstatus AS st, length(o_orderpriority) * 60 > 200 AS long,
    o_orderkey < (SELECT count(*) FROM customer) AS ok FROM orders)
 SELECT 7000000000 + k AS id, CASE WHEN st = 'O' THEN '时间实体' WHEN ok THEN '物理实体' END AS category,
- CASE WHEN NOT ok THEN '实体id=' || (7000000000 + k) || ' 不存在' ELSE coalesce(array_to_string(list_filter([
+ CASE WHEN NOT ok THEN '实体id=' || (7000000000 + k) || ' 不存在' ELSE concat_ws('; ', 
   CASE WHEN st = 'F' THEN '实体名称必须为非空字符串' END,
-  CASE WHEN st <> 'F' AND k % 2 = 1 AND long THEN '实体名称长度不得超过200字符' END], x -> x IS NOT NULL), '; '), '') END AS errors FROM c"""
+  CASE WHEN st <> 'F' AND k % 2 = 1 AND long THEN '实体名称长度不得超过200字符' END) END AS errors FROM c"""
 
 
 @query

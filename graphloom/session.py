@@ -1,6 +1,7 @@
 """Session helpers: shared scratch tables, size-checked broadcast, row positions."""
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -25,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def fixed_now():
+    """The time of the call as a literal, so a table evaluated twice keeps its time stamps."""
+    return F.timestamp_micros(F.lit(time.time_ns() // 1000))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex[:12]}"
 
