@@ -1,6 +1,6 @@
 """Reading JSON objects out of model output text."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
@@ -13,22 +13,47 @@ def _braces(t: Column) -> Column:
     return F.when((start > 0) & F.contains(t, F.lit("}")) & (end > start), t.substr(start, end - start + 1))
 
 
-def tolerant_json(text) -> Column:
-    """JSON object text out of a possibly fenced answer; trailing commas are forgiven; NULL when unreadable."""
-    t = strip(text)
-    fenced = F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    t = F.when(t.rlike(r"```(?:json)?\s*[\s\S]*?```"), strip(fenced)).otherwise(t)
-    raw = _braces(t)
-    fixed = F.regexp_replace(raw, r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(raw).isNotNull(), raw).when(F.try_parse_json(fixed).isNotNull(), fixed)
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def json_value(text) -> Column:
+    """The text as one JSON value; NULL when it is not exactly that.
+
+    The parser stops after the first value, so the text is read inside an array and inside an object:
+    both fail unless the value ends where the text ends.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return let(items, lambda a: F.when((F.size(a) == 1) & alone, F.get(a, F.lit(0))))
+
+
+def with_tolerant_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
+    """Adds the JSON object text of a possibly fenced answer; trailing commas are forgiven; NULL when unreadable.
+
+    Each stage is a column of its own, so later stages refer to it instead of repeating it.
+    """
+    cols = df.columns
+    fenced = r"```(?:json)?\s*([\s\S]*?)```"
+    df = df.withColumn("_t", strip(F.col(column)))
+    df = df.withColumn("_t", F.when(F.col("_t").rlike(fenced), strip(F.regexp_extract("_t", fenced, 1))).otherwise(F.col("_t")))
+    df = df.withColumn("_raw", _braces(F.col("_t")))
+    df = df.withColumn("_fixed", F.regexp_replace("_raw", r",\s*([}\]])", "$1"))
+    text = F.when(json_value(F.col("_raw")).isNotNull(), F.col("_raw")).when(json_value(F.col("_fixed")).isNotNull(), F.col("_fixed"))
+    return df.select(*[c for c in cols if c != out], text.alias(out))
 
 
 def strict_json(text) -> Column:
     """struct(json, error): all fence marks removed, no repair."""
-    raw = _braces(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"(?i)```(?:json)?", ""))
-    ok = F.try_parse_json(raw).isNotNull()
-    error = F.when(raw.isNull(), "输出中未找到JSON对象").when(~ok, "JSON解析失败")
-    return F.struct(F.when(ok, raw).alias("json"), error.alias("error"))
+    bare = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"(?i)```(?:json)?", "")
+
+    def judged(raw):
+        ok = json_value(raw).isNotNull()
+        error = F.when(raw.isNull(), "输出中未找到JSON对象").when(~ok, "JSON解析失败")
+        return F.struct(F.when(ok, raw).alias("json"), error.alias("error"))
+
+    return let(let(bare, _braces), judged)
 
 
 def field(v: Column, name: str) -> Column:

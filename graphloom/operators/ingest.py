@@ -113,7 +113,7 @@ def answer_table(prompts: DataFrame, fn) -> DataFrame:
 
 def parse_model_json(outputs: DataFrame) -> DataFrame:
     """Adds ``json``, the object text of each output; NULL when unreadable."""
-    return outputs.withColumn("json", J.tolerant_json(F.col("text")))
+    return J.with_tolerant_json(outputs, "text")
 
 
 def normalize_candidates(parsed: DataFrame):
@@ -297,7 +297,7 @@ def parse_ops_blocks(texts: DataFrame):
     """(operations, replies) of (msg_id, text): every element of every fenced block, in order, and the text
     without the blocks together with the last parse error."""
     b = texts.select("msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(OPS_BLOCK))).alias("block", "raw"))
-    b = b.withColumn("v", F.try_parse_json(strip(F.col("raw"))))
+    b = b.withColumn("v", J.json_value(strip(F.col("raw"))))
     ok = J.is_kind(F.col("v"), "ARRAY")
     items = b.where(ok).select("msg_id", "block", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("i", "op"))
     text = lambda c: F.try_variant_get("op", f"$.{c}", "string").alias(c)
@@ -321,7 +321,7 @@ def parse_event_lines(lines: DataFrame):
     """(texts, errors, sessions) of agent output (run_id, line_no, line).
 
     Texts and errors stay rows in line order; a session is the first id seen in a run."""
-    v = lines.select("run_id", "line_no", F.try_parse_json(strip(F.col("line"))).alias("v")).where(J.is_kind(F.col("v"), "OBJECT"))
+    v = lines.select("run_id", "line_no", J.json_value(strip(F.col("line"))).alias("v")).where(J.is_kind(F.col("v"), "OBJECT"))
     x = F.col("v")
     kind = F.try_variant_get(x, "$.type", "string")
     single = F.when(kind == "text", F.try_variant_get(x, "$.part.text", "string"))

@@ -4,16 +4,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import schema as S
+from graphloom.functions.jsontext import json_value, let
 from graphloom.functions.text import strip
 
 
 def rules(*checks) -> Column:
-    """Messages of the (bad, message) checks that hold, in order; a message may be an array of messages."""
-    parts = []
-    for bad, message in checks:
-        message = F.lit(message) if isinstance(message, str) else message
-        parts.append(F.when(F.coalesce(bad, F.lit(False)), F.array(message)).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    """Messages of the (bad, message) checks that hold, in order."""
+    return F.array_compact(F.array(*[F.when(bad, F.lit(m) if isinstance(m, str) else m) for bad, m in checks]))
 
 
 def _blank(c) -> Column:
@@ -23,18 +20,24 @@ def _blank(c) -> Column:
 def attribute_errors(c: str = "attributes") -> Column:
     """Errors of a JSON attribute text; NULL counts as an empty object."""
     text = F.coalesce(F.col(c), F.lit("{}"))
-    value = F.try_parse_json(text)
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    keys = F.json_object_keys(text)
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    kind = lambda k: F.schema_of_variant(F.element_at(fields, k))
-    per_key = F.flatten(F.transform(keys, lambda k: F.filter(F.array(
-        F.when(strip(k) == "", F.concat(F.lit('属性键"'), k, F.lit('"必须为非空字符串'))),
-        F.when(kind(k).startswith("OBJECT") | kind(k).startswith("ARRAY"), F.concat(
-            F.lit('属性"'), k, F.lit('"的值必须为字符串/数值/布尔/空值(扁平三元组结构)，禁止嵌套对象或数组'))),
-    ), lambda m: m.isNotNull())))
-    many = F.when(F.size(keys) > 100, F.array(F.lit("属性键数量不得超过100"))).otherwise(F.array().cast("array<string>"))
-    return F.when(is_object, F.concat(per_key, many)).otherwise(F.array(F.lit("属性(attributes)必须为JSON对象")))
+
+    def key_errors(fields, k):
+        kind = F.schema_of_variant(F.element_at(fields, k))
+        return F.array_compact(F.array(
+            F.when(strip(k) == "", F.concat(F.lit('属性键"'), k, F.lit('"必须为非空字符串'))),
+            F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.concat(
+                F.lit('属性"'), k, F.lit('"的值必须为字符串/数值/布尔/空值(扁平三元组结构)，禁止嵌套对象或数组'))),
+        ))
+
+    def object_errors(value):
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        keys = F.json_object_keys(text)
+        many = F.array_compact(F.array(F.when(F.size(keys) > 100, F.lit("属性键数量不得超过100"))))
+        per_key = let(fields, lambda m: F.flatten(F.transform(keys, lambda k: key_errors(m, k))))
+        good = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+        return F.when(good, F.concat(per_key, many)).otherwise(F.array(F.lit("属性(attributes)必须为JSON对象")))
+
+    return let(json_value(text), object_errors)
 
 
 def entity_errors(name="name", category="category", attributes="attributes") -> Column:
