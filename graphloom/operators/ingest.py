@@ -121,7 +121,8 @@ def normalize_candidates(parsed: DataFrame):
 
     Attribute keys come in sorted order, as parsed objects hold them.
     """
-    v = parsed.where("json IS NOT NULL").select("doc_id", "chunk_idx", "filename", F.try_parse_json("json").alias("v"))
+    v = materialize(parsed.where("json IS NOT NULL").select("doc_id", "chunk_idx", "filename", "json"), "parsed")
+    v = v.withColumn("v", F.try_parse_json("json"))
     one_of = lambda c, allowed, other: F.when(c.isin(allowed), c).otherwise(F.lit(other))
     e = v.select("doc_id", "chunk_idx", F.posexplode(J.elements(F.col("v"), "entities")).alias("pos", "e"))
     x = F.col("e")
@@ -147,7 +148,7 @@ def normalize_candidates(parsed: DataFrame):
 
 def merge_candidate_entities(cands: DataFrame) -> DataFrame:
     """One candidate per (doc_id, name): first category, first value per attribute key, aliases in order."""
-    c = cands.withColumn("ord", F.struct("chunk_idx", "pos"))
+    c = materialize(cands, "candidates").withColumn("ord", F.struct("chunk_idx", "pos"))
     key = ["doc_id", "name"]
     head = c.groupBy(*key).agg(F.min("ord").alias("ord"), F.min_by("category", "ord").alias("category"))
     value = F.when(F.col("v").isNull(), F.lit("null")).otherwise(F.to_json("v"))
