@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing
+from graphloom.llm import bpe, ngram_join, packing, preference, spotsigs, url_filter, warc
 from graphloom.llm.common import table
 
 QUERIES: dict = {}
@@ -21,7 +21,63 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op3_spotsigs(spark, sf_dir):
+    return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(labelled))
+
+
+@query
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_warc_derivatives(spark, sf_dir):
+    responses = warc.responses_of(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z")
+    return warc.derive(responses, carry=("page_id",))
+
+
+@query
+def op9_preference_format(spark, sf_dir):
+    pairs = preference.stale_answers(table(spark, sf_dir, "conversations"))
+    out = preference.format_pairs(pairs, "conv_id")
+    return out.withColumns({c: preference.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 @query
 def op5_pack_sequences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+ORACLES["op9_preference_format"] = """
+WITH t AS (
+  SELECT conv_id, list_sort(list({'turn': coalesce(turn, -1), 'role': coalesce(role, ''), 'text': coalesce(text, '')})) AS ts
+  FROM conversations GROUP BY conv_id),
+a AS (SELECT *, list_filter(generate_series(1, len(ts)), lambda i: ts[i].role = 'assistant') AS ans FROM t),
+p AS (
+  SELECT conv_id,
+    CASE WHEN len(ans) > 0 THEN ts[1:ans[-1]] ELSE ts END AS c,
+    CASE WHEN len(ans) > 0 THEN list_concat(ts[1:ans[-1] - 1], [{'turn': ts[ans[-1]].turn, 'role': 'assistant',
+      'text': CASE WHEN len(ans) > 1 THEN ts[ans[-2]].text ELSE 'I have no answer to that.' END}]) ELSE ts END AS r
+  FROM a),
+n AS (
+  SELECT *, coalesce(list_filter(generate_series(1, least(len(c), len(r))), lambda i: c[i].role <> r[i].role OR c[i].text <> r[i].text)[1] - 1,
+    least(len(c), len(r))) AS k FROM p),
+s AS (
+  SELECT conv_id, k, list_transform(c, lambda x: '<|start|>' || x.role || chr(10) || x.text || '<|end|>' || chr(10)) AS cr,
+    list_transform(r, lambda x: '<|start|>' || x.role || chr(10) || x.text || '<|end|>' || chr(10)) AS rr, c, r FROM n)
+SELECT conv_id, k::INT AS n_prompt_turns, coalesce(array_to_string(cr[1:k], ''), '') AS prompt,
+  coalesce(array_to_string(cr[k + 1:], ''), '') AS chosen, coalesce(array_to_string(rr[k + 1:], ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(generate_series(k + 1, len(c)), lambda i: c[i].role = 'assistant'),
+    lambda i: (coalesce(list_sum(list_transform(cr[k + 1:i - 1], lambda x: length(x))), 0) + 19)::BIGINT::VARCHAR || '+' || (length(c[i].text) + 8)::VARCHAR), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(generate_series(k + 1, len(r)), lambda i: r[i].role = 'assistant'),
+    lambda i: (coalesce(list_sum(list_transform(rr[k + 1:i - 1], lambda x: length(x))), 0) + 19)::BIGINT::VARCHAR || '+' || (length(r[i].text) + 8)::VARCHAR), ','), '') AS rejected_spans
+FROM s
+"""
