@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, ngram_join, packing, preference, spotsigs, url_filter, warc
+from graphloom.llm import bpe, ngram_join, packing, preference, spotsigs, substring, url_filter, warc
 from graphloom.llm.common import table
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    return substring.digest_kept(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_warc_derivatives(spark, sf_dir):
     responses = warc.responses_of(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z")
