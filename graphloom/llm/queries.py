@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, ngram_join, packing, preference, spotsigs, substring, url_filter, warc
+from graphloom.llm import ann, bpe, crf_quality, ngram_join, packing, preference, spotsigs, substring, url_filter, warc
 from graphloom.llm.common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,14 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op2_crf_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = crf_quality.train(docs, table(spark, sf_dir, "labels"))
+    out = crf_quality.score(docs, field)
+    return out.select("doc_id", crf_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_spotsigs(spark, sf_dir):
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
@@ -61,6 +69,12 @@ def op5_pack_sequences(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op10_posting_lists(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 ORACLES["op9_preference_format"] = """
 WITH t AS (
   SELECT conv_id, list_sort(list({'turn': coalesce(turn, -1), 'role': coalesce(role, ''), 'text': coalesce(text, '')})) AS ts
