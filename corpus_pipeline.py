@@ -6,6 +6,7 @@ written as Parquet and read again as the next stage's documents. All stages but
 """
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,11 @@ from graphloom.session import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def tag():
+    """Bucket of a row's id."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(ngram_join.BUCKETS)).cast("int").alias("tag")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier predicts to be good; its labels never count as inputs of a score."""
     field = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -22,13 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(COLUMNS)
 
 
+def marked_rows(docs: DataFrame, bits, want: bool) -> DataFrame:
+    """Rows whose id falls, or does not fall, into a marked bucket."""
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(bits.value[b.column(b.num_columns - 1).to_numpy()] == want)).select(COLUMNS)
+
+    return docs.select(*COLUMNS, tag().alias("_tag")).mapInArrow(run, docs.select(COLUMNS).schema)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one of the smallest id. Rows repeating an id count as one;
-    rows without an id name no component and stay."""
-    found = ngram_join.join_documents(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = found.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return some.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    rows without an id name no component and stay.
+
+    Only rows that may have to go are shuffled: ids that go, or come twice, mark buckets of a table of fixed size.
+    """
+    found = materialize(ngram_join.join_documents(docs), "components")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    bits = spark.sparkContext.broadcast(substring.marked(ids.where("_n > 1 or not stays").select(tag())))
+    some = marked_rows(docs, bits, True)
+    kept = some.where("doc_id is not null").join(ids.where("stays").select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    return marked_rows(docs, bits, False).union(kept.dropDuplicates(["doc_id"])).union(some.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
