@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "match_edges_contains", "match_edges_first", "resolve_keys_cli", "entity_details", "degrees", "relation_name_freq", "graph_digest",
-    "search_op_logs", "ego_depth2", "ego_all", "shortest_paths", "all_paths", "infer_all", "recommend_purchases", "recommend_center",
+    "search_op_logs", "ego_depth2", "ego_all", "shortest_paths", "all_paths", "infer_all", "recommend_purchases", "recommend_all_relations", "recommend_center",
     "jaccard_similar", "co_neighbors", "bridges", "keyword_search", "cosine_topk", "hybrid_search",
     "validate_relations", "apply_ops_entities", "cascade_delete", "chunk_documents", "chunk_sentences", "parse_model_json",
     "match_candidate_entities", "export_triples", "turtle_blocks", "stream_op_counts",

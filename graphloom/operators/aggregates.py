@@ -3,20 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom import schema as S
 from graphloom.graph import Graph, neighbor_pairs
-from graphloom.session import with_position
+from graphloom.session import at_least, with_position
 
-ALIAS_BLOCK = 65536
 
+def alias_rows(aliases: DataFrame) -> DataFrame:
+    """(entity_id, id, alias) rows: the form to use where an entity may have any number of aliases."""
+    return aliases.select("entity_id", "id", "alias")
 
-def alias_map(aliases: DataFrame) -> DataFrame:
-    """Alias lists per entity in alias id order.
 
-    An entity gets one row per block of alias ids, so no list holds more than one block of aliases.
-    """
+def alias_map(aliases: DataFrame) -> DataFrame:
+    """One row per entity with its alias list in alias id order; ``alias_rows`` has no lists."""
     listed = F.sort_array(F.collect_list(F.struct("id", "alias")))
-    block = F.floor(F.col("id") / ALIAS_BLOCK).alias("alias_block")
-    return aliases.groupBy("entity_id", block).agg(F.transform(listed, lambda a: a["alias"]).alias("aliases"))
+    return aliases.groupBy("entity_id").agg(F.transform(listed, lambda a: a["alias"]).alias("aliases"))
 
 
 def graph_counts(g: Graph) -> DataFrame:
@@ -31,10 +31,9 @@ def graph_version(op_logs: DataFrame) -> DataFrame:
     return op_logs.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("version"))
 
 
-def list_entities(g: Graph, category=None, limit=100, offset=0, clamp=True) -> DataFrame:
+def list_entities(g: Graph, category=None, limit=100, offset=0) -> DataFrame:
     """A page of entities by id with alias lists and ``total`` before paging."""
-    if clamp:
-        limit, offset = max(1, min(int(limit or 100), 500)), max(0, int(offset or 0))
+    limit, offset = at_least(limit, 1, "limit"), at_least(offset, 0, "offset")
     e = g.entities if category is None else g.entities.where(F.col("category") == category)
     page = e.orderBy("id").offset(offset).limit(limit)
     total = e.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
@@ -48,8 +47,7 @@ def list_entities(g: Graph, category=None, limit=100, offset=0, clamp=True) -> D
 
 def graph_payload(g: Graph, entity_limit=300, relation_limit=1000):
     """First entities and relations by id, and one row of totals with the ``truncated`` flag."""
-    ne = max(1, min(int(entity_limit or 300), 2000))
-    nr = max(1, min(int(relation_limit or 1000), 5000))
+    ne, nr = at_least(entity_limit, 1, "entity_limit"), at_least(relation_limit, 1, "relation_limit")
     totals = graph_counts(g).select(
         F.col("entities").alias("total_entities"), F.col("relations").alias("total_relations"),
         ((F.col("entities") > ne) | (F.col("relations") > nr)).alias("truncated"),
@@ -116,8 +114,8 @@ def digest_samples(g: Graph) -> DataFrame:
     return both.orderBy("ord").limit(15)
 
 
-def graph_digest(g: Graph) -> DataFrame:
-    """One row of text: categories, frequent relation names, samples, sizes; cut to 2048 characters."""
+def graph_digest(g: Graph, max_chars: int | None = None) -> DataFrame:
+    """One row of text: categories, frequent relation names, samples, sizes; cut to ``max_chars`` if given."""
     def line(df, text, order):
         # inputs are enum categories, 20 names or 15 samples
         rows = F.sort_array(F.collect_list(F.struct(*order, F.expr(text).alias("_t"))))
@@ -139,7 +137,18 @@ def graph_digest(g: Graph) -> DataFrame:
         .unionByName(sizes)
     )
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "\n")
-    return lines.agg(F.substring(text, 1, 2048).alias("digest"))
+    return lines.agg((text if max_chars is None else F.substring(text, 1, max_chars)).alias("digest"))
+
+
+def graph_stats(g: Graph) -> DataFrame:
+    """One row: entities, relations, logs, version, inferred relations and indexed vectors."""
+    one = F.lit(1).alias("one")
+    inferred = g.relations.agg(F.count_if(F.col("confidence") == S.GUESSED_CONFIDENCE).alias("inferred_relations"))
+    vectors = g.vectors.agg(F.count(F.lit(1)).alias("indexed_vectors"))
+    out = graph_counts(g).select("*", one)
+    for part in (graph_version(g.op_logs), inferred, vectors):
+        out = out.join(part.select("*", one), "one")
+    return out.drop("one")
 
 
 def entity_details(g: Graph, keys: DataFrame) -> DataFrame:

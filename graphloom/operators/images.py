@@ -8,20 +8,22 @@ from graphloom.functions.text import strip
 from graphloom.session import fixed_now, with_position
 
 
-def add_images(images: DataFrame, owners: DataFrame, requests: DataFrame, owner: str = "entity_id", top_id: int = 0):
+def add_images(images: DataFrame, owners: DataFrame, requests: DataFrame, owner: str = "entity_id", top_id: int = 0,
+               filename_chars: int | None = None, caption_chars: int | None = None):
     """(new table, statuses): rows (req_idx, owner, filename, stored_path, thumb_path, caption) checked and trimmed.
 
-    404 for a missing owner, 400 for a blank file name or path; captions are cut to 300 and file names to
-    200 characters.
+    404 for a missing owner, 400 for a blank file name or path; file names and captions stay whole unless a
+    length is given.
     """
     r = requests.join(owners.select(F.col("id").alias(owner), F.lit(True).alias("known")), owner, "left")
     text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     status = F.when(F.col("known").isNull(), 404).when(text("filename") == "", 400).when(text("stored_path") == "", 400).otherwise(201)
     r = r.withColumn("status", status)
     ok = with_position(r.where("status = 201"), "req_idx").select(
-        (F.col("pos") + top_id + 1).alias("id"), owner, F.substring(text("filename"), 1, 200).alias("filename"),
+        (F.col("pos") + top_id + 1).alias("id"), owner, cut(text("filename"), filename_chars).alias("filename"),
         text("stored_path").alias("stored_path"), text("thumb_path").alias("thumb_path"),
-        F.substring(text("caption"), 1, 300).alias("caption"), fixed_now().alias("created_at"))
+        cut(text("caption"), caption_chars).alias("caption"), fixed_now().alias("created_at"))
     cols = (S.ENTITY_IMAGES if owner == "entity_id" else S.RELATION_IMAGES).fieldNames()
     return images.select(*cols).unionByName(ok.select(*cols)), r.select("req_idx", "status")
 

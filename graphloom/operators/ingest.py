@@ -9,7 +9,7 @@ from graphloom.functions.text import strip
 from graphloom.graph import Graph
 from graphloom.operators import changes as C
 from graphloom.operators.frontier import union
-from graphloom.session import materialize
+from graphloom.session import materialize, ship_package
 
 CHUNK_CHARS = 3000
 SENTENCE_CHARS = 1400
@@ -89,9 +89,10 @@ def extract_prompts(chunks: DataFrame, template: str = DEFAULT_EXTRACT_TEMPLATE)
     return chunks.withColumn("prompt", F.concat(F.lit(template), F.col("chunk")))
 
 
-def judge_prompts(g: Graph, recs: DataFrame, head: str = "Is there a relation worth storing between A and B? Answer with one JSON object.") -> DataFrame:
-    """Prompt per recommended pair: both entities, attributes cut to 300 characters, common names."""
-    attrs = F.substring("attributes", 1, 300)
+def judge_prompts(g: Graph, recs: DataFrame, head: str = "Is there a relation worth storing between A and B? Answer with one JSON object.",
+                  attribute_chars: int | None = None) -> DataFrame:
+    """Prompt per recommended pair: both entities, attributes (cut to ``attribute_chars`` if given), common names."""
+    attrs = F.col("attributes") if attribute_chars is None else F.substring("attributes", 1, attribute_chars)
     shown = F.concat(F.col("name"), F.lit("（"), F.col("category"), F.lit("）"), F.when(
         F.col("attributes") != "{}", F.concat(F.lit(" "), attrs)).otherwise(""))
     end = lambda c, out: g.entities.select(F.col("id").alias(c), shown.alias(out))
@@ -108,6 +109,7 @@ def answer_table(prompts: DataFrame, fn) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(text=pd.Series(fn(pdf["prompt"].tolist()), index=pdf.index, dtype="object"))
 
+    ship_package(prompts.sparkSession)
     return prompts.mapInPandas(answer, prompts.withColumn("text", F.lit("")).schema)
 
 
@@ -116,7 +118,7 @@ def parse_model_json(outputs: DataFrame) -> DataFrame:
     return J.with_tolerant_json(outputs, "text")
 
 
-def normalize_candidates(parsed: DataFrame):
+def normalize_candidates(parsed: DataFrame, max_aliases: int | None = None):
     """(entities, relations) of (doc_id, chunk_idx, filename, json) rows with defaults filled in.
 
     Attribute keys come in sorted order, as parsed objects hold them.
@@ -133,7 +135,7 @@ def normalize_candidates(parsed: DataFrame):
         "doc_id", "chunk_idx", "pos", J.string_field(x, "name").alias("name"),
         one_of(F.try_variant_get(x, "$.category", "string"), S.ENTITY_CATEGORIES, S.DEFAULT_CANDIDATE_ENTITY_CATEGORY).alias("category"),
         F.when(J.is_kind(attrs, "OBJECT"), F.to_json(attrs)).otherwise("{}").alias("attributes"),
-        F.slice(aliases, 1, MAX_ALIASES).alias("aliases")).where("name <> ''")
+        (aliases if max_aliases is None else F.slice(aliases, 1, max_aliases)).alias("aliases")).where("name <> ''")
     ref = F.concat(F.lit("《"), "filename", F.lit("》片段"), (F.col("chunk_idx") + 1).cast("string"))
     r = v.select("doc_id", "chunk_idx", ref.alias("source_ref"), F.posexplode(J.elements(F.col("v"), "relations")).alias("pos", "r"))
     y = F.col("r")
@@ -339,12 +341,13 @@ def parse_event_lines(lines: DataFrame):
     return texts, errors, sessions
 
 
-def validate_judgements(outputs: DataFrame) -> DataFrame:
+def validate_judgements(outputs: DataFrame, name_chars: int | None = None, evidence_chars: int | None = None) -> DataFrame:
     """Checked fields of (…, text) judgement outputs: has_relation, name, category, confidence, evidence, error."""
     df = outputs.withColumn("_j", J.strict_json(F.col("text"))).withColumn("_v", F.try_parse_json("_j.json"))
     v = F.col("_v")
     has = J.truthy(v, "has_relation")
-    name = F.substring(strip(J.text_field(v, "name")), 1, 30)
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
+    name = cut(strip(J.text_field(v, "name")), name_chars)
     cat = F.try_variant_get(v, "$.category", "string")
     conf = F.try_variant_get(v, "$.confidence", "string")
     error = (F.when(F.col("_j.error").isNotNull(), F.concat(F.lit("LLM输出无法解析: "), F.col("_j.error")))
@@ -354,7 +357,7 @@ def validate_judgements(outputs: DataFrame) -> DataFrame:
     return df.select(
         *outputs.columns, F.when(error.isNull(), has).alias("has_relation"), F.when(good, name).alias("name"), F.when(good, cat).alias("category"),
         F.when(good, F.when(conf.isin(S.CONFIDENCES), conf).otherwise(S.GUESSED_CONFIDENCE)).alias("confidence"),
-        F.when(good, F.substring(strip(J.text_field(v, "evidence")), 1, 300)).alias("evidence"), error.alias("error"))
+        F.when(good, cut(strip(J.text_field(v, "evidence")), evidence_chars)).alias("evidence"), error.alias("error"))
 
 
 STEP_TOOLS = ["keyword", "cypher", "path", "ego"]

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.session import at_least
 
 EDGE_COLUMNS = ["source", "relation", "category", "target", "source_id", "target_id", "relation_id"]
 FIELDS = {"name", "category", "source"}
@@ -45,23 +46,19 @@ def _edges(g: Graph, rel_types, where):
     )
 
 
-def clamp_limit(limit, default: int = 100, top: int = 500) -> int:
-    return min(int(limit or 0) or default, top)
-
-
 def match_edges(g: Graph, rel_types=(), where=(), limit: int | None = 100) -> DataFrame:
     """Edges (a)-[r]->(b). ``rel_types`` match category or name without case; ``where`` holds
     (source|target|relation, name|category|source, =|contains|~, value) and all must hold.
-    ``limit=None`` keeps every match; otherwise the first by relation id, 100 by default, at most 500."""
+    ``limit=None`` keeps every match; otherwise the first by relation id, 100 by default."""
     df = _edges(g, rel_types, where)
-    return df if limit is None else df.orderBy("relation_id").limit(clamp_limit(limit))
+    return df if limit is None else df.orderBy("relation_id").limit(at_least(limit, 1, "limit"))
 
 
 def match_edges_count(g: Graph, rel_types=(), where=(), limit: int | None = 100) -> DataFrame:
     """Number of matches, capped at the limit; uncapped with ``limit=None``."""
     n = F.count(F.lit(1))
     if limit is not None:
-        n = F.least(n, F.lit(clamp_limit(limit)).cast("long"))
+        n = F.least(n, F.lit(at_least(limit, 1, "limit")).cast("long"))
     return _edges(g, rel_types, where).agg(n.alias("count"))
 
 
@@ -83,7 +80,7 @@ def match_edges_ci(g: Graph, rel_type: str = "", where=(), limit: int | None = 5
         F.col("a.name").alias("source"), F.col("name").alias("relation"), "category",
         F.col("b.name").alias("target"), "source_id", "target_id", F.col("id").alias("relation_id"),
     )
-    return df if limit is None else df.orderBy("relation_id").limit(clamp_limit(limit, 50, 50))
+    return df if limit is None else df.orderBy("relation_id").limit(at_least(limit, 1, "limit"))
 
 
 def incident(relations: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

@@ -11,6 +11,8 @@ from graphloom.operators.frontier import union
 from graphloom.operators.match import incident, resolve_keys, with_endpoint_names
 from graphloom.session import materialize
 
+#: Limits that queries pass where they want short results.
+MAX_STEPS = 4
 EDGE_ROWS = 50
 KEYWORD_TOP = 10
 EGO_NODES = 100
@@ -19,9 +21,9 @@ SHOWN_ENTITIES = 30
 SHOWN_RELATIONS = 40
 
 
-def match_edges_table(g: Graph, patterns: DataFrame, limit: int = EDGE_ROWS) -> DataFrame:
+def match_edges_table(g: Graph, patterns: DataFrame, limit: int | None = None) -> DataFrame:
     """Edge patterns as data: (qid, step, rel_types array, conds array<struct<var,field,op,value>>) to
-    (qid, step, relation_id, source_id, target_id), the first ``limit`` by relation id per pattern.
+    (qid, step, relation_id, source_id, target_id), per pattern the first ``limit`` by relation id or all.
 
     Patterns meet relations by an equi-join on the type text; a pattern without types asks for every name.
     """
@@ -41,26 +43,30 @@ def match_edges_table(g: Graph, patterns: DataFrame, limit: int = EDGE_ROWS) ->
     w = Window.partitionBy("qid", "step").orderBy("relation_id")
     # a relation whose name and category are both asked for comes twice
     hits = hits.select("qid", "step", F.col("id").alias("relation_id"), "source_id", "target_id").distinct()
-    return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    hits = hits.withColumn("rn", F.row_number().over(w))
+    return hits if limit is None else hits.where(F.col("rn") <= limit)
 
 
-def run_retrieval_steps(g: Graph, steps: DataFrame):
+def run_retrieval_steps(g: Graph, steps: DataFrame, max_steps: int | None = None, edge_rows: int | None = None,
+                        keyword_top: int | None = None, ego_nodes: int | None = None):
     """(entities, relations, status) for steps (qid, step, tool, q, rel_types, conds, from, to, max, center, depth).
 
     One batch job per tool. Entities (qid, step, pos, id) and relations (qid, step, pos, rel_id) keep the
-    order in which a step gives them; keyword steps give no relations.
+    order in which a step gives them; keyword steps give no relations. Steps from number ``max_steps`` on are not run
+    and come back with status ``refused``; the other limits keep the first results of a step.
     """
-    steps = materialize(steps.where("step < 4"), "steps")
+    late = steps.where(F.lit(False) if max_steps is None else F.col("step") >= max_steps)
+    steps = materialize(steps if max_steps is None else steps.where(F.col("step") < max_steps), "steps")
     tool = lambda name: steps.where(F.col("tool") == name)
     ents, rels = [], []
 
     kw = tool("keyword").select("qid", "step", F.col("q").alias("text"))
     texts = kw.select("text").distinct().withColumn("tid", F.xxhash64("text"))
-    hits = Q.rank_scores(Q.keyword_search(g, texts.select(F.col("tid").alias("qid"), "text")), KEYWORD_TOP)
+    hits = Q.rank_scores(Q.keyword_search(g, texts.select(F.col("tid").alias("qid"), "text")), keyword_top)
     hits = kw.withColumn("tid", F.xxhash64("text")).join(hits.withColumnRenamed("qid", "tid"), "tid")
     ents.append(hits.select("qid", "step", F.col("rank").cast("long").alias("pos"), "id"))
 
-    edges = materialize(match_edges_table(g, tool("cypher").select("qid", "step", "rel_types", "conds")), "edges")
+    edges = materialize(match_edges_table(g, tool("cypher").select("qid", "step", "rel_types", "conds"), edge_rows), "edges")
     rels.append(edges.select("qid", "step", F.col("rn").cast("long").alias("pos"), F.col("relation_id").alias("rel_id")))
     both = edges.select("qid", "step", F.explode(F.array(
         F.struct((F.col("rn") * 2).cast("long").alias("pos"), F.col("source_id").alias("id")),
@@ -86,7 +92,8 @@ def run_retrieval_steps(g: Graph, steps: DataFrame):
         lv = T.ego_levels(g, part.select(F.col("center").alias("id")), top).join(g.entities.select("id"), "id", "left_semi")
         lv = part.join(lv, "center").where("depth IS NULL OR level <= depth")
         w = Window.partitionBy("qid", "step").orderBy("level", "id")
-        lv = materialize(lv.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= EGO_NODES).select("qid", "step", "pos", "id"), "ego")
+        lv = lv.withColumn("pos", F.row_number().over(w).cast("long")).select("qid", "step", "pos", "id")
+        lv = materialize(lv if ego_nodes is None else lv.where(F.col("pos") <= ego_nodes), "ego")
         ents.append(lv)
         end = lambda col: lv.select("qid", "step", F.col("id").alias(col))
         inner = g.relations.join(end("source_id"), "source_id").join(end("target_id"), ["qid", "step", "target_id"], "left_semi")
@@ -99,7 +106,8 @@ def run_retrieval_steps(g: Graph, steps: DataFrame):
     n = entities.groupBy("qid", "step").agg(F.count(F.lit(1)).alias("count"))
     status = steps.select("qid", "step", "tool").join(unresolved, ["qid", "step"], "left").join(n, ["qid", "step"], "left").select(
         "qid", "step", "tool", F.when(F.col("bad"), "error").otherwise("ok").alias("status"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    return entities, relations, status
+    refused = late.select("qid", "step", "tool", F.lit("refused").alias("status"), F.lit(0).cast("long").alias("count"))
+    return entities, relations, status.unionByName(refused)
 
 
 def merge_steps(rows: DataFrame, id_col: str) -> DataFrame:
@@ -109,26 +117,27 @@ def merge_steps(rows: DataFrame, id_col: str) -> DataFrame:
     return first.select("qid", id_col, (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-def scan_by_name(g: Graph, questions: DataFrame, cap: int = 10):
+def scan_by_name(g: Graph, questions: DataFrame, cap: int | None = None):
     """(hits, relations): entities named in the questions and all relations touching them."""
     hits = materialize(Q.mentions(questions, g.entities, cap), "hits")
     rel = incident(g.relations, hits).join(hits.select("qid", F.col("id").alias("key")), "key")
     return hits, rel.select("qid", F.col("id").alias("rel_id"), "source_id", "target_id", "name").distinct()
 
 
-def answer_context(g: Graph, questions: DataFrame, entities: DataFrame, relations: DataFrame, answers: DataFrame | None = None):
+def answer_context(g: Graph, questions: DataFrame, entities: DataFrame, relations: DataFrame, answers: DataFrame | None = None,
+                   shown_entities: int | None = None, shown_relations: int | None = None):
     """Prompt text, co-neighbors, bridges and evidence paths per question.
 
     ``entities`` (qid, pos, id) and ``relations`` (qid, pos, rel_id) are merged step results; the prompt
-    shows at most 30 entities and 40 relations.
+    shows the first ``shown_entities`` and ``shown_relations``, or all.
     """
     e = materialize(entities.join(g.entities.select("id", "name"), "id"), "context")
     r = g.relations.select(F.col("id").alias("rel_id"), "source_id", "target_id", F.col("name").alias("rel"))
     r = materialize(relations.join(r, "rel_id"), "context_rel")
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat("name", F.lit("#"), F.col("id").cast("string")).alias("t")))), lambda x: x["t"]), "、")
-    ent_text = e.where(F.col("pos") < SHOWN_ENTITIES).groupBy("qid").agg(shown.alias("ents"))
+    ent_text = (e if shown_entities is None else e.where(F.col("pos") < shown_entities)).groupBy("qid").agg(shown.alias("ents"))
     name = lambda c, out: e.select("qid", F.col("id").alias(c), F.col("name").alias(out))
-    top = r.where(F.col("pos") < SHOWN_RELATIONS).join(name("source_id", "s"), ["qid", "source_id"], "left").join(name("target_id", "t"), ["qid", "target_id"], "left")
+    top = (r if shown_relations is None else r.where(F.col("pos") < shown_relations)).join(name("source_id", "s"), ["qid", "source_id"], "left").join(name("target_id", "t"), ["qid", "target_id"], "left")
     end = lambda n, i: F.coalesce(n, F.concat(F.lit("#"), F.col(i).cast("string")))
     line = F.concat(end("s", "source_id"), F.lit("#id"), F.col("source_id").cast("string"), F.lit(" —["), F.col("rel"), F.lit("]→ "), end("t", "target_id"))
     rel_text = top.select("qid", "pos", line.alias("t")).groupBy("qid").agg(

@@ -12,7 +12,7 @@ from graphloom.functions.vectors import cosine
 from graphloom.graph import Graph
 from graphloom.operators.aggregates import incident_counts
 from graphloom.operators.match import incident
-from graphloom.session import fixed_now, materialize, with_position
+from graphloom.session import at_least, fixed_now, materialize, ship_package, with_position
 
 RRF_K = 60
 SEARCH_MIN = 0.15
@@ -69,6 +69,7 @@ def _automaton_pass(texts: DataFrame, column: str, words: list[str]) -> DataFram
             hits = [sorted({w for _, w in machine.iter(t)}) if t else [] for t in pdf[column]]
             yield pdf.assign(term=hits).explode("term").dropna(subset=["term"])
 
+    ship_package(texts.sparkSession)
     return texts.mapInPandas(find, schema)
 
 
@@ -98,14 +99,16 @@ def keyword_search(g: Graph, queries: DataFrame, with_aliases: bool = True) -> D
     return hits.groupBy("qid", "id").agg(F.sum(F.col("score") * F.col("times")).cast("long").alias("score"))
 
 
-def rank_scores(scores: DataFrame, k: int) -> DataFrame:
+def rank_scores(scores: DataFrame, k: int | None) -> DataFrame:
+    """The ``k`` best per query with their rank; all of them for None."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def keyword_topk(g: Graph, queries: DataFrame, k: int = 10, with_aliases: bool = False) -> DataFrame:
     """Ranked keyword hits with entity columns; names and attribute JSON only unless asked otherwise."""
-    k = max(1, min(k or 10, 50))
+    k = at_least(k, 1, "k")
     return rank_scores(keyword_search(g, queries, with_aliases), k).join(g.entities.drop("created_at", "source"), "id")
 
 
@@ -144,6 +147,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, above: float, sk
             for qrows, vrows in zip(pdf["rows"], pdf["vrows"]):
                 yield _meet(qrows, vrows, k, above, skip_self)
 
+    ship_package(v.sparkSession)
     part = v.join(q, "qpack").select("rows", "vrows").mapInPandas(meet, "qid long, id long, score double")
     return rank_scores(part, k).drop("rank")
 
@@ -182,7 +186,7 @@ def hybrid_search(g: Graph, queries: DataFrame, limit: int = 10, rrf_k: int = RR
 
     (qid, rank, id, name, rrf_score, semantic_score, keyword_score, hit_relations, mode).
     """
-    limit = max(1, min(limit or 10, 50))
+    limit = at_least(limit, 1, "limit")
     queries = materialize(queries, "queries")
     kw_all = materialize(keyword_search(g, queries), "kw")
     kw = rank_scores(kw_all, limit * 3).select("qid", "id", F.col("rank").alias("kw_rank"))
@@ -217,7 +221,7 @@ def similar_entities(g: Graph, targets: DataFrame, k: int = 8) -> DataFrame:
     """(target, mode, id, score, rank): by vector where the target has one with a close match, else by structure."""
     from graphloom.operators.recommend import similar_by_structure
 
-    k = min(20, max(1, k))
+    k = at_least(k, 1, "k")
     t = targets.select("id").distinct().join(g.entities.select("id"), "id", "left_semi")
     t = materialize(t, "targets")
     q = t.join(g.vectors, F.col("id") == F.col("entity_id")).select(F.col("id").alias("qid"), "vector")
@@ -266,6 +270,7 @@ def embed_table(stale: DataFrame, fn: Callable[[list[str]], list[list[float]]])
                     raise ValueError(f"{len(part)} texts gave {len(vecs)} vectors")
                 yield pd.DataFrame({"entity_id": part["id"].to_numpy(), "text": part["text"].to_numpy(), "vector": list(vecs)})
 
+    ship_package(stale.sparkSession)
     out = stale.select("id", "text").mapInPandas(embed, "entity_id long, text string, vector array<float>")
     return out.withColumn("updated_at", fixed_now())
 
@@ -276,7 +281,7 @@ def embedding_status(g: Graph, configured: bool = True) -> DataFrame:
         F.lit(configured).alias("configured"), "indexed", "total_entities")
 
 
-def mentions(questions: DataFrame, entities: DataFrame, cap: int | None = 10, min_chars: int = 2) -> DataFrame:
+def mentions(questions: DataFrame, entities: DataFrame, cap: int | None = None, min_chars: int = 2) -> DataFrame:
     """(qid, id, name, rank): entities whose name (at least two characters) stands in the question text.
 
     The pieces of each question that have the length of some name join on the name, so questions and

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, undirected_edges
 from graphloom.operators.frontier import HUB_ROWS, build_adjacency, levels_from, union, with_level
-from graphloom.session import materialize
+from graphloom.session import at_least, materialize
 
 LONGS = "array<bigint>"
 
@@ -87,8 +87,7 @@ def all_paths(g: Graph, pairs: DataFrame, max_hops: int = 4, limit: int = 5, hub
     the first such edge are not followed. A partial path lives only while the target can still be
     reached within the hops left, which a search from the target tells beforehand.
     """
-    max_hops = min(6, max(2, max_hops))
-    limit = min(10, max(1, limit))
+    max_hops, limit = at_least(max_hops, 1, "max_hops"), at_least(limit, 1, "limit")
     ids = g.entities.select("id")
     pairs = pairs.select("source_id", "target_id").distinct()
     pairs = pairs.join(ids, F.col("source_id") == F.col("id"), "left_semi").join(ids, F.col("target_id") == F.col("id"), "left_semi")

@@ -12,13 +12,12 @@ from graphloom.graph import Graph
 from graphloom.operators.changes import high_water
 from graphloom.session import fixed_now
 
-LOOK_BACK = 100
 SKIPPED = ["UNDO", "ADD_RELATION_IMAGE"]
 
 
-def undo_candidate(op_logs: DataFrame) -> DataFrame:
-    """The newest of the last 100 log rows that is neither an UNDO nor already undone; at most one row."""
-    newest = op_logs.orderBy(F.desc("id")).limit(LOOK_BACK)
+def undo_candidate(op_logs: DataFrame, look_back: int | None = None) -> DataFrame:
+    """The newest log row that is neither an UNDO nor already undone; at most one row. ``look_back`` sees only so many rows."""
+    newest = op_logs if look_back is None else op_logs.orderBy(F.desc("id")).limit(look_back)
     undone = newest.where("op_type = 'UNDO'").select(
         F.from_json("snapshot", "struct<undone_log:bigint>")["undone_log"].alias("id")).where("id IS NOT NULL")
     return newest.where(~F.col("op_type").isin(SKIPPED)).join(undone, "id", "left_anti").orderBy(F.desc("id")).limit(1)

@@ -341,7 +341,7 @@ FROM pages GROUP BY 1"""
 
 @query
 def graph_digest(spark, sf_dir):
-    return A.graph_digest(store(spark, sf_dir))
+    return A.graph_digest(store(spark, sf_dir), 2048)
 
 
 ORACLES["graph_digest"] = sql(ENT, REL, body=""",

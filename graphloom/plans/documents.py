@@ -17,6 +17,8 @@ from graphloom.sources import export as X
 from graphloom.sources.derived import NATION, table
 from graphloom.streaming import changes as ST
 
+LIMITS = (RT.MAX_STEPS, RT.EDGE_ROWS, RT.KEYWORD_TOP, RT.EGO_NODES)
+
 _WS = "E' \\t\\n\\r'"
 
 
@@ -141,7 +143,7 @@ ORACLES["extract_json_strict"] = f"WITH {_OUT} SELECT doc_id, chunk_idx, false A
 
 
 def candidates(spark, sf_dir):
-    return I.normalize_candidates(I.parse_model_json(outputs(spark, sf_dir)))
+    return I.normalize_candidates(I.parse_model_json(outputs(spark, sf_dir)), I.MAX_ALIASES)
 
 
 @query
@@ -229,7 +231,7 @@ ORACLES["commit_candidates"] = f"WITH {_OUT} " + """SELECT DISTINCT doc_id, 2::B
 @query
 def ingest_task_summary(spark, sf_dir):
     parsed = I.parse_model_json(outputs(spark, sf_dir))
-    e, r = I.normalize_candidates(parsed)
+    e, r = I.normalize_candidates(parsed, I.MAX_ALIASES)
     return I.ingest_task_summary(I.chunk_documents(documents(spark, sf_dir)), parsed, I.merge_candidate_entities(e), I.dedup_candidate_relations(r))
 
 
@@ -328,7 +330,7 @@ def validate_judgements(spark, sf_dir):
         F.lit(',"name":" '), F.when(F.col("p_size") > 40, "").otherwise(F.repeat("p_name", 5)), F.lit(' ","category":"'), F.when(F.col("p_size") % 2 == 0, "互动").otherwise(F.col("p_type")),
         F.lit('","confidence":"'), F.when(F.col("p_size") % 3 == 0, "存疑").otherwise("?"), F.lit('","evidence":"'), F.repeat("p_type", 60), F.lit('"} ```'))
     text = F.when(F.col("p_size") == 25, F.col("p_name")).otherwise(text)
-    return I.validate_judgements(p.select("p_partkey", text.alias("text"))).drop("text")
+    return I.validate_judgements(p.select("p_partkey", text.alias("text")), 30, 300).drop("text")
 
 
 ORACLES["validate_judgements"] = """WITH p AS (SELECT p_partkey, p_size, p_size >= 10 AS has, trim(left(trim(repeat(p_name, 5)), 30)) AS nm0, left(trim(repeat(p_name, 5)), 30) AS nm, p_type FROM part),
@@ -388,7 +390,7 @@ st AS (SELECT qid, 0 AS step, id FROM kws WHERE rn <= 10 UNION SELECT qid, 1, un
 
 @query
 def retrieval_status(spark, sf_dir):
-    _, _, status = RT.run_retrieval_steps(store(spark, sf_dir), retrieval_steps(spark, sf_dir))
+    _, _, status = RT.run_retrieval_steps(store(spark, sf_dir), retrieval_steps(spark, sf_dir), *LIMITS)
     return status
 
 
@@ -398,7 +400,7 @@ SELECT qid, step, CASE step WHEN 0 THEN 'keyword' WHEN 1 THEN 'cypher' WHEN 2 TH
 
 @query
 def retrieval_entities(spark, sf_dir):
-    ents, _, _ = RT.run_retrieval_steps(store(spark, sf_dir), retrieval_steps(spark, sf_dir))
+    ents, _, _ = RT.run_retrieval_steps(store(spark, sf_dir), retrieval_steps(spark, sf_dir), *LIMITS)
     return RT.merge_steps(ents, "id").select("qid", "id")
 
 
@@ -408,14 +410,14 @@ ORACLES["retrieval_entities"] = sql(ENT, REL, ALI, ADJ, _STEPS, body=" SELECT DI
 @query
 def retrieval_context(spark, sf_dir):
     g = store(spark, sf_dir)
-    ents, rels, _ = RT.run_retrieval_steps(g, retrieval_steps(spark, sf_dir))
-    prompt, _, _, _ = RT.answer_context(g, nation_questions(spark, sf_dir), RT.merge_steps(ents, "id"), RT.merge_steps(rels, "rel_id"))
+    ents, rels, _ = RT.run_retrieval_steps(g, retrieval_steps(spark, sf_dir), *LIMITS)
+    prompt, _, _, _ = RT.answer_context(g, nation_questions(spark, sf_dir), RT.merge_steps(ents, "id"), RT.merge_steps(rels, "rel_id"), None, RT.SHOWN_ENTITIES, RT.SHOWN_RELATIONS)
     return prompt
 
 
 @query
 def scan_by_name_relations(spark, sf_dir):
-    _, rel = RT.scan_by_name(store(spark, sf_dir), nation_questions(spark, sf_dir))
+    _, rel = RT.scan_by_name(store(spark, sf_dir), nation_questions(spark, sf_dir), 10)
     return rel.select("qid", "rel_id")
 
 
@@ -428,7 +430,7 @@ SELECT DISTINCT qid, rel.id AS rel_id FROM h JOIN rel ON source_id = h.id OR tar
 @query
 def judge_prompts(spark, sf_dir):
     g = store(spark, sf_dir)
-    recs = R.recommend_for(g, ids_of(spark, sf_dir, "nation", "n_nationkey", NATION), limit=3)
+    recs = R.recommend_for(g, ids_of(spark, sf_dir, "nation", "n_nationkey", NATION), limit=3, hub_degree=R.HUB_DEGREE)
     return I.judge_prompts(g, recs, "J").select("center", "rank", F.col("prompt").startswith("J\nA: ").alias("ok"))
 
 

@@ -44,7 +44,7 @@ _BUY = REL.replace("rel AS MATERIALIZED (", "rel0 AS (") + ",\nrel AS MATERIALIZ
 
 @query
 def recommend_purchases(spark, sf_dir):
-    return recs(R.recommend(purchases(spark, sf_dir)))
+    return recs(R.recommend(purchases(spark, sf_dir), hub_degree=R.HUB_DEGREE))
 
 
 ORACLES["recommend_purchases"] = _recommend_sql(_BUY)
@@ -53,7 +53,7 @@ ORACLES["recommend_purchases"] = _recommend_sql(_BUY)
 @query
 def recommend_all_relations(spark, sf_dir):
     """The whole graph: suppliers, segments, nations and brands are the long middles."""
-    return recs(R.recommend(store(spark, sf_dir)))
+    return recs(R.recommend(store(spark, sf_dir), hub_degree=R.HUB_DEGREE))
 
 
 ORACLES["recommend_all_relations"] = _recommend_sql(REL)
@@ -62,7 +62,7 @@ ORACLES["recommend_all_relations"] = _recommend_sql(REL)
 @query
 def recommend_center(spark, sf_dir):
     nations = ids_of(spark, sf_dir, "nation", "n_nationkey", NATION)
-    return recs(R.recommend_for(store(spark, sf_dir), nations))
+    return recs(R.recommend_for(store(spark, sf_dir), nations, hub_degree=R.HUB_DEGREE))
 
 
 ORACLES["recommend_center"] = sql(ENT, REL, ADJ, _EDGES, _DEG, body=""",
@@ -333,7 +333,7 @@ def nation_questions(spark, sf_dir):
 
 @query
 def scan_by_name(spark, sf_dir):
-    return Q.mentions(nation_questions(spark, sf_dir), store(spark, sf_dir).entities)
+    return Q.mentions(nation_questions(spark, sf_dir), store(spark, sf_dir).entities, 10)
 
 
 ORACLES["scan_by_name"] = sql(ENT, body=""",

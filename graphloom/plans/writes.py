@@ -327,7 +327,7 @@ SELECT req_idx, name, CASE WHEN NOT taken AND req_idx = first THEN 'insert' WHEN
 
 @query
 def undo_candidate(spark, sf_dir):
-    return U.undo_candidate(store(spark, sf_dir).op_logs).select("id", "op_type", "snapshot")
+    return U.undo_candidate(store(spark, sf_dir).op_logs, 100).select("id", "op_type", "snapshot")
 
 
 ORACLES["undo_candidate"] = sql(LOG, body=""", n AS (SELECT * FROM log ORDER BY id DESC LIMIT 100)
@@ -387,7 +387,7 @@ def add_images(spark, sf_dir):
     req = d.select((F.col("page_id") + 1).alias("req_idx"), (F.col("page_id") + SUPPLIER * KIND).alias("entity_id"),
                    F.when(F.col("page_id") % 7 == 0, " ").otherwise(F.concat(F.lit(" f"), F.col("page_id").cast("string"))).alias("filename"),
                    F.col("url").alias("stored_path"), F.lit("").alias("thumb_path"), F.col("html").alias("caption"))
-    table_, status = M.add_images(g.entity_images, g.entities, req, top_id=10**6)
+    table_, status = M.add_images(g.entity_images, g.entities, req, top_id=10**6, filename_chars=200, caption_chars=300)
     return status.join(table_.where(F.col("id") > 10**6).select(
         (F.substring_index("filename", "f", -1).cast("long") + 1).alias("req_idx"), "filename", F.length("caption").cast("long").alias("len")), "req_idx", "left")
 

@@ -50,6 +50,13 @@ def fixed_now():
     return F.timestamp_micros(F.lit(time.time_ns() // 1000))
 
 
+def at_least(value, low: int, name: str) -> int:
+    """The number a caller asked for, as it is; nonsense is refused instead of being replaced."""
+    if value is None or int(value) < low:
+        raise ValueError(f"{name} must be {low} or more, not {value!r}")
+    return int(value)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex[:12]}"
 

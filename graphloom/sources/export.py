@@ -192,9 +192,11 @@ def import_graph(spark: SparkSession, tables: dict[str, DataFrame], current: Gra
     return g, graph_counts(g).select("*", one).join(graph_version(g.op_logs).select("*", one), "one").drop("one")
 
 
-def read_documents(spark: SparkSession, path: str, extensions=("md", "markdown", "txt"), max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """(path, filename, text) of whole text files; other types and larger files are left out."""
+def read_documents(spark: SparkSession, path: str, extensions=("md", "markdown", "txt"), max_bytes: int | None = None) -> DataFrame:
+    """(path, filename, text, status) of all files: ``ok`` with the whole text, or without it ``type`` or, above
+    ``max_bytes``, ``size``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.substring_index("path", ".", -1))
-    ok = files.where(ext.isin(list(extensions)) & (F.col("length") <= max_bytes))
-    return ok.select("path", F.substring_index("path", "/", -1).alias("filename"), F.decode("content", "UTF-8").alias("text"))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    status = F.when(~ext.isin(list(extensions)), "type").when(large, "size").otherwise("ok")
+    return files.select("path", F.substring_index("path", "/", -1).alias("filename"), F.when(status == "ok", F.decode("content", "UTF-8")).alias("text"), status.alias("status"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import schema as S
-from graphloom.graph import Graph, load_graph, save_graph
+from graphloom.graph import Graph, load_graph, make_graph, save_graph
 
 KEEP = 10
 GAP_SECONDS = 600
+RANGE_IDS = 10_000
 _LOG = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("version", T.LongType()),
     T.StructField("title", T.StringType()), T.StructField("source", T.StringType()), T.StructField("log_from", T.LongType()),
@@ -73,11 +74,12 @@ class VersionStore:
         found = rows.orderBy(F.desc("seq")).limit(1).collect()
         return found[0] if found else None
 
-    def savepoint(self, g: Graph, title: str = "", source: str = "系统", now: datetime | None = None) -> dict:
-        """Write a new version unless the data equals the last one."""
+    def savepoint(self, g: Graph, title: str = "", source: str = "系统", now: datetime | None = None, always: bool = False) -> dict:
+        """Write a new version unless the data equals the last one; ``always`` writes it all the same, so that the log
+        rows of a batch without net effect are kept."""
         last, top = self._last(), self._last("savepoint")
         mark = fingerprint(g)
-        if last is not None and last["print"] == mark:
+        if last is not None and last["print"] == mark and not always:
             return {"committed": False, "message": "当前数据与最近保存点一致，无差异需要提交"}
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         version = (top["version"] if top else 0) + 1
@@ -92,14 +94,27 @@ class VersionStore:
         return {"committed": True, "version": version, "log_range": [start, to],
                 "message": f"{title}｜来源:{source}｜日志ID:{start}-{to}"}
 
-    def history(self, limit: int = 100) -> DataFrame:
-        rows = self._rows().where("kind = 'savepoint'").orderBy(F.desc("version")).limit(limit)
+    def history(self, limit: int | None = None) -> DataFrame:
+        """Savepoints, newest first; all unless a limit is given."""
+        rows = self._rows().where("kind = 'savepoint'").orderBy(F.desc("version"))
+        rows = rows if limit is None else rows.limit(limit)
         return rows.select(*S.SAVEPOINTS.fieldNames())
 
     def retained(self, keep: int = KEEP) -> DataFrame:
         """Rolling copies: savepoints at least ten minutes after the copy before them, newest first."""
         return self._rows().where("is_backup").orderBy(F.desc("version")).limit(keep).select(*S.SAVEPOINTS.fieldNames())
 
+    def titled(self, title: str) -> bool:
+        """Whether some savepoint has this title."""
+        return not self._rows().where((F.col("kind") == "savepoint") & (F.col("title") == title)).isEmpty()
+
+    def current(self) -> Graph:
+        """The graph that the last savepoint or restore left; empty if there is neither."""
+        last = self._last()
+        if last is None:
+            return make_graph(self.spark)
+        return load_graph(self.spark, f"{self.root}/{'v' if last['kind'] == 'savepoint' else 'r'}{last['version' if last['kind'] == 'savepoint' else 'seq']}")
+
     def at(self, version: int) -> Graph:
         if self._rows().where((F.col("kind") == "savepoint") & (F.col("version") == version)).isEmpty():
             raise ValueError(f"保存点 {version} 不存在")
@@ -112,9 +127,7 @@ class VersionStore:
         target = self.at(version)
         made = self.savepoint(g, f"回滚前自动备份 {datetime.now(timezone.utc):%Y/%m/%d %H:%M:%S}", "系统")
         row = self._rows().where((F.col("kind") == "savepoint") & (F.col("version") == version)).first()
-        last = self._last()
-        self._append(seq=last["seq"] + 1, kind="restore", version=version, title=row["title"], source="系统", log_from=row["log_from"],
-                     log_to=row["log_to"], print=row["print"], is_backup=False, created_at=datetime.now(timezone.utc).replace(tzinfo=None))
+        seq = self._last()["seq"] + 1
         snap = F.to_json(F.struct(
             F.lit("版本回溯").alias("action"), F.lit(str(version)).alias("restored_to"),
             F.lit(str(made["version"]) if made["committed"] else None).alias("backup_savepoint"),
@@ -123,17 +136,18 @@ class VersionStore:
         log = graph_counts(target).withColumn("one", F.lit(1)).join(top, "one").select(
             (F.col("top") + 1).alias("id"), F.lit("RESTORE").alias("op_type"), snap.alias("snapshot"),
             F.current_timestamp().alias("created_at"), F.lit("系统").alias("source"))
-        return target.with_tables(op_logs=target.op_logs.unionByName(log)), made.get("version")
+        restored = target.with_tables(op_logs=target.op_logs.unionByName(log))
+        save_graph(restored, f"{self.root}/r{seq}")  # what later batches build on
+        self._append(seq=seq, kind="restore", version=version, title=row["title"], source="系统", log_from=row["log_from"],
+                     log_to=row["log_to"], print=row["print"], is_backup=False, created_at=datetime.now(timezone.utc).replace(tzinfo=None))
+        return load_graph(self.spark, f"{self.root}/r{seq}"), made.get("version")
 
     def log_range_members(self, op_logs: DataFrame) -> DataFrame:
         """(version, log id): log rows bound to each savepoint.
 
-        Ranges follow one another, so a log row finds its savepoint by the next range end instead of by
-        comparing it with every savepoint: the savepoints are few and cut into one array per job.
+        A range spells out its buckets of ids, and log rows meet it on their bucket.
         """
-        ends = [(r["log_from"], r["log_to"], r["version"]) for r in self.history(10**6).collect()]  # one row per savepoint
-        spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(v).alias("v")) for a, b, v in ends]) if ends else None
-        if spans is None:
-            return op_logs.select(F.lit(None).cast("long").alias("version"), "id").where(F.lit(False))
-        hit = F.filter(spans, lambda s: (s["a"] <= F.col("id")) & (F.col("id") <= s["b"]))
-        return op_logs.select(F.explode(hit).alias("s"), "id").select(F.col("s.v").cast("long").alias("version"), "id")
+        bucket = lambda c: F.floor(F.col(c) / RANGE_IDS)
+        spans = self.history().select("version", "log_from", "log_to", F.explode(F.sequence(bucket("log_from"), bucket("log_to"))).alias("_b"))
+        rows = op_logs.select("id", bucket("id").alias("_b"))
+        return rows.join(spans, "_b").where("log_from <= id AND id <= log_to").select("version", "id")

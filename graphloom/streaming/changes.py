@@ -44,29 +44,52 @@ def emit_changes(logs: DataFrame, on_change, checkpoint: str, trigger: dict | No
             .option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start())
 
 
-def stream_apply_ops(spark: SparkSession, ops_dir: str, store: VersionStore, checkpoint: str, trigger: dict | None = None, source: str = "OpenCode"):
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of the store, empty before its first row."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def stream_apply_ops(spark: SparkSession, ops_dir: str, store: VersionStore, checkpoint: str, trigger: dict | None = None, source: str = "OpenCode",
+                     max_files: int | None = None):
     """Apply files of operations as they arrive, one new version per accepted batch key.
 
-    The title of a version names its batch, so a batch that is delivered again after a failure is seen to
-    be done. A refused batch leaves the current version as it is; refusals are kept in the store folder.
+    A batch that states its number of operations (batch_size) waits until all have arrived, however many files
+    they come in; without it, a batch is what one trigger brings. Batches start from the store's current
+    version, a restored one included. The title of a version names its batch, so a batch that is delivered
+    again is seen to be done. A refused batch leaves the current version as it is; refusals are kept in the store
+    folder, also those of a key that comes with more operations than it stated.
     """
-    schema = T.StructType([*S.OPS.fields, T.StructField("batch_key", S.STR)])
+    schema = T.StructType([*S.OPS.fields, T.StructField("batch_key", S.STR), T.StructField("batch_size", T.LongType())])
+    refusal = T.StructType([T.StructField("batch_key", S.STR), T.StructField("error", S.STR)])
+    refused = f"{store.root}/refused"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        keys = [r[0] for r in batch.select("batch_key").distinct().orderBy("batch_key").collect()]  # one per request
-        for key in keys:
-            title = f"batch {key}"
-            past = store.history(10**6)
-            if not past.where(F.col("title") == title).isEmpty():
+        batch.write.mode("overwrite").parquet(f"{store.root}/arrived/trigger={batch_id}")
+        here = spark.read.schema(schema).parquet(f"{store.root}/arrived/trigger={batch_id}")
+        arrived = spark.read.schema(schema).parquet(f"{store.root}/arrived").select(*schema.fieldNames()).distinct()
+        rows = arrived.join(here.select("batch_key").distinct(), "batch_key", "left_semi")
+        sizes = rows.groupBy("batch_key").agg(F.count(F.lit(1)).alias("n"), F.max("batch_size").alias("size"))
+        for r in sizes.where("size IS NULL OR n >= size").orderBy("batch_key").collect():  # one per request of this trigger
+            key, title = r["batch_key"], f"batch {r['batch_key']}"
+            known = not _read(spark, refused, refusal).where(F.col("batch_key") == key).isEmpty()
+            if r["size"] is not None and r["n"] > r["size"] and not known:
+                error = "more operations than stated"
+            elif known or store.titled(title):
                 continue
-            head = past.agg(F.max("version")).first()[0]
-            done = apply_ops(store.at(head), batch.where(F.col("batch_key") == key).drop("batch_key"), source)
-            if done.error:
-                spark.createDataFrame([(key, done.error)], "batch_key string, error string").write.mode("append").parquet(f"{store.root}/refused")
             else:
-                store.savepoint(done.graph, title, source)
-        batch.unpersist()
-
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(ops_dir).writeStream.foreachBatch(each)
+                ops = (here if r["size"] is None else rows).where(F.col("batch_key") == key).drop("batch_key", "batch_size")
+                done = apply_ops(store.current(), ops, source)
+                error = done.error
+                if not error:
+                    store.savepoint(done.graph, title, source, always=True)
+            if error:
+                spark.createDataFrame([(key, error)], refusal).write.mode("append").parquet(refused)
+
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return (reader.parquet(ops_dir).writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start())
