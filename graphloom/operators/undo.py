@@ -24,119 +24,94 @@ def undo_candidate(op_logs: DataFrame, look_back: int | None = None) -> DataFram
 
 
 def undo_last(g: Graph, source: str = "手工", marks: dict | None = None):
-    """(new graph, summary, caveats): apply the inverse of the candidate and log one UNDO row."""
+    """(new graph, outcome): apply the inverse of the candidate and log one UNDO row.
+
+    The outcome says what became of it: ``op_type``, ``id`` of the row concerned, ``outcome`` (undone, gone: a later
+    change removed the row, back: it exists again) and ``n_relations``, the relations removed along with an added entity, or
+    lost for good with a deleted one. ValueError names what stands in the way.
+    """
     row = undo_candidate(g.op_logs).collect()
     if not row:
-        raise ValueError("暂无可撤销的操作")
+        raise ValueError("nothing_to_undo")
     last = row[0]
     if last["op_type"] == "RESTORE":
-        raise ValueError("最近的操作是版本回溯，无法撤销，请回溯到更早的保存点")
+        raise ValueError("restored_before")
     marks = dict(marks or high_water(g))
-    g, summary, caveats = _INVERSE[last["op_type"]](g, json.loads(last["snapshot"]))
-    snap = json.dumps({"undone_log": last["id"], "undone_type": last["op_type"], "summary": summary, "caveats": caveats}, ensure_ascii=False)
+    verb, kind = last["op_type"].split("_", 1)
+    g, done = _VERBS[verb](g, kind, json.loads(last["snapshot"]))
+    done = {"op_type": last["op_type"], "n_relations": 0, **done}
+    snap = json.dumps({"undone_log": last["id"], **done}, ensure_ascii=False)
     log = g.spark.createDataFrame([(marks["op_logs"] + 1, "UNDO", snap, source)], "id long, op_type string, snapshot string, source string")
     log = log.withColumn("created_at", fixed_now()).select(*S.OP_LOGS.fieldNames())
-    return g.with_tables(op_logs=g.op_logs.select(*S.OP_LOGS.fieldNames()).unionByName(log)), summary, caveats
+    return g.with_tables(op_logs=g.op_logs.select(*S.OP_LOGS.fieldNames()).unionByName(log)), done
+
+
+#: Table, snapshot key and columns of each kind of row; and the values of relations logged before these columns came.
+_KINDS = {"ENTITY": ("entities", "entity", S.ENTITIES), "RELATION": ("relations", "relation", S.RELATIONS), "ALIAS": ("aliases", "alias", S.ALIASES)}
+_LATER = {"confidence": S.DEFAULT_CONFIDENCE, "source_ref": ""}
 
 
 def _has(df: DataFrame, id_: int) -> bool:
     return not df.where(F.col("id") == id_).isEmpty()
 
 
-def _put(df: DataFrame, schema: T.StructType, row: dict) -> DataFrame:
+def _put(g: Graph, kind: str, row: dict) -> Graph:
     """Replace or add one row taken from a snapshot, with all its columns."""
+    table, _, schema = _KINDS[kind]
+    if kind == "RELATION":
+        row = {**row, **{c: row.get(c) or v for c, v in _LATER.items()}}
     text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "created_at" else f.dataType) for f in schema.fields])
-    new = df.sparkSession.createDataFrame([tuple(row.get(n) for n in schema.fieldNames())], text)
-    new = new.withColumn("created_at", F.to_timestamp("created_at"))
-    return df.where(F.col("id") != row["id"]).select(*schema.fieldNames()).unionByName(new)
-
-
-def _name(g: Graph, id_: int) -> str:
-    row = g.entities.where(F.col("id") == id_).select("name").limit(1).collect()
-    return f"「{row[0][0]}」" if row else f"#{id_}"
-
-
-def _edge(g: Graph, r: dict) -> str:
-    return f"「{_name(g, r['source_id'])} —[{r['name']}]→ {_name(g, r['target_id'])}」"
-
-
-def _defaults(r: dict) -> dict:
-    return {**r, "confidence": r.get("confidence") or S.DEFAULT_CONFIDENCE, "source_ref": r.get("source_ref") or ""}
-
-
-def _add_entity(g, s):
-    e = s["entity"]
-    if not _has(g.entities, e["id"]):
-        return g, f"实体「{e['name']}」已被后续操作删除，无需撤销", []
-    ends = (F.col("source_id") == e["id"]) | (F.col("target_id") == e["id"])
-    n = g.relations.where(ends).count()
-    g = g.with_tables(
-        entities=g.entities.where(F.col("id") != e["id"]), relations=g.relations.where(~ends),
-        aliases=g.aliases.where(F.col("entity_id") != e["id"]), entity_images=g.entity_images.where(F.col("entity_id") != e["id"]))
-    return g, f"已撤销新增：删除实体「{e['name']}」", [f"同时清理了引用该实体的 {n} 条关系"] if n else []
-
-
-def _update_entity(g, s):
-    b = s["before"]
-    if not _has(g.entities, b["id"]):
-        raise ValueError("实体已不存在，无法撤销更新")
-    hit = F.col("id") == b["id"]
-    put = lambda c: F.when(hit, F.lit(b[c])).otherwise(F.col(c)).alias(c)
-    cols = [put(c) if c in ("name", "category", "attributes") else F.col(c) for c in S.ENTITIES.fieldNames()]
-    return g.with_tables(entities=g.entities.select(*cols)), f"已撤销更新：实体「{b['name']}」还原为修改前数据", []
-
-
-def _delete_entity(g, s):
-    e = s["entity"]
-    if _has(g.entities, e["id"]):
-        return g, f"实体「{e['name']}」已重新存在，无需撤销", []
-    n = s.get("cascaded_relations") or 0
-    caveats = [f"级联删除的 {n} 条关系已随快照遗失，如需完整恢复请回溯保存点"] if n else []
-    return g.with_tables(entities=_put(g.entities, S.ENTITIES, e)), f"已撤销删除：恢复实体「{e['name']}」", caveats
-
-
-def _add_relation(g, s):
-    r = s["relation"]
-    if not _has(g.relations, r["id"]):
-        return g, f"关系#{r['id']}已被后续操作删除，无需撤销", []
-    return g.with_tables(relations=g.relations.where(F.col("id") != r["id"])), f"已撤销新增：删除关系{_edge(g, r)}", []
-
-
-def _update_relation(g, s):
-    b = s["before"]
-    if not _has(g.relations, b["id"]):
-        raise ValueError("关系已不存在，无法撤销更新")
-    return (g.with_tables(relations=_put(g.relations, S.RELATIONS, _defaults(b))),
-            f"已撤销更新：关系#{b['id']} [{b['name']}] 还原为修改前数据", [])
-
-
-def _delete_relation(g, s):
-    r = s["relation"]
-    if _has(g.relations, r["id"]):
-        return g, f"关系#{r['id']}已重新存在，无需撤销", []
-    for end, label in (("source_id", "起点"), ("target_id", "终点")):
-        if not _has(g.entities, r[end]):
-            raise ValueError(f"{label}实体id={r[end]} 不存在")
-    return g.with_tables(relations=_put(g.relations, S.RELATIONS, _defaults(r))), f"已撤销删除：恢复关系{_edge(g, r)}", []
-
-
-def _add_alias(g, s):
-    a = s["alias"]
-    return g.with_tables(aliases=g.aliases.where(F.col("id") != a["id"])), f"已撤销新增：删除别名「{a['alias']}」", []
-
-
-def _delete_alias(g, s):
-    a = s["alias"]
-    if _has(g.aliases, a["id"]):
-        return g, f"别名「{a['alias']}」已重新存在，无需撤销", []
-    return g.with_tables(aliases=_put(g.aliases, S.ALIASES, a)), f"已撤销删除：恢复别名「{a['alias']}」", []
-
-
-_INVERSE = {
-    "ADD_ENTITY": _add_entity, "UPDATE_ENTITY": _update_entity, "DELETE_ENTITY": _delete_entity,
-    "ADD_RELATION": _add_relation, "UPDATE_RELATION": _update_relation, "DELETE_RELATION": _delete_relation,
-    "ADD_ALIAS": _add_alias, "DELETE_ALIAS": _delete_alias,
-}
+    new = g.spark.createDataFrame([tuple(row.get(n) for n in schema.fieldNames())], text).withColumn("created_at", F.to_timestamp("created_at"))
+    old = getattr(g, table).where(F.col("id") != row["id"]).select(*schema.fieldNames())
+    return g.with_tables(**{table: old.unionByName(new)})
+
+
+def _take_out(g: Graph, kind: str, snapshot: dict):
+    """Inverse of an addition. An entity takes along what refers to it."""
+    table, key, _ = _KINDS[kind]
+    id_ = snapshot[key]["id"]
+    there = getattr(g, table)
+    if not _has(there, id_):
+        return g, {"id": id_, "outcome": "gone"}
+    n = 0
+    if kind == "ENTITY":
+        ends = (F.col("source_id") == id_) | (F.col("target_id") == id_)
+        n = g.relations.where(ends).count()
+        own = F.col("entity_id") != id_
+        g = g.with_tables(relations=g.relations.where(~ends), aliases=g.aliases.where(own), entity_images=g.entity_images.where(own))
+    return g.with_tables(**{table: there.where(F.col("id") != id_)}), {"id": id_, "outcome": "undone", "n_relations": n}
+
+
+def _set_back(g: Graph, kind: str, snapshot: dict):
+    """Inverse of an update: the row as it was before. An entity keeps its source and time."""
+    table, _, schema = _KINDS[kind]
+    before = snapshot["before"]
+    rows = getattr(g, table)
+    if not _has(rows, before["id"]):
+        raise ValueError(f"{kind.lower()}_missing")
+    done = {"id": before["id"], "outcome": "undone"}
+    if kind != "ENTITY":
+        return _put(g, kind, before), done
+    hit = F.col("id") == before["id"]
+    cols = [F.when(hit, F.lit(before[c])).otherwise(F.col(c)).alias(c) if c in ("name", "category", "attributes") else F.col(c) for c in schema.fieldNames()]
+    return g.with_tables(entities=rows.select(*cols)), done
+
+
+def _bring_back(g: Graph, kind: str, snapshot: dict):
+    """Inverse of a deletion. A relation needs both its ends; relations lost with an entity stay lost."""
+    table, key, _ = _KINDS[kind]
+    row = snapshot[key]
+    if _has(getattr(g, table), row["id"]):
+        return g, {"id": row["id"], "outcome": "back"}
+    if kind == "RELATION":
+        for end in ("source_id", "target_id"):
+            if not _has(g.entities, row[end]):
+                raise ValueError(f"{end}_missing")
+    lost = snapshot.get("cascaded_relations") or 0
+    return _put(g, kind, row), {"id": row["id"], "outcome": "undone", "n_relations": lost}
+
+
+_VERBS = {"ADD": _take_out, "UPDATE": _set_back, "DELETE": _bring_back}
 
 
 def undo_log_rows(op_logs: DataFrame) -> DataFrame:

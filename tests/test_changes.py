@@ -95,15 +95,15 @@ def test_undo_walks_back_step_by_step(spark, make):
     for s in steps:
         g = C.apply_ops(g, ops(spark, s)).graph
     assert [x.op_type for x in g.op_logs.orderBy("id").collect()] == ["ADD_ENTITY", "ADD_RELATION", "UPDATE_ENTITY", "DELETE_RELATION", "DELETE_ENTITY"]
-    g, text, caveats = U.undo_last(g)
-    assert names(g.entities) == {"A9", "B", "C"} and caveats and g.relations.count() == 0
-    g, _, _ = U.undo_last(g)
+    g, done = U.undo_last(g)
+    assert names(g.entities) == {"A9", "B", "C"} and done == {"op_type": "DELETE_ENTITY", "id": 3, "outcome": "undone", "n_relations": 1} and g.relations.count() == 0
+    g, _ = U.undo_last(g)
     back = g.relations.first()
     assert (back.confidence, back.source_ref) == ("存疑", "p1")
-    g, _, _ = U.undo_last(g)
+    g, _ = U.undo_last(g)
     assert names(g.entities) == {"A", "B", "C"}
-    g, _, _ = U.undo_last(g)
-    g, _, _ = U.undo_last(g)
+    g, _ = U.undo_last(g)
+    g, _ = U.undo_last(g)
     assert names(g.entities) == {"A", "B"} and g.relations.count() == 0
     with pytest.raises(ValueError):
         U.undo_last(g)
