@@ -2,9 +2,9 @@
 
 1. Documents with equal sets are one class. The same scan counts hashed tokens over all documents.
 2. A class posts the tokens of its prefix under the first order (rare buckets first). Similar sets share one.
-3. Per token, every class is compared with the most typical class of the posting. Classes so linked are one
-   component; only classes of different components that share a token are compared further, so a large group of
-   near copies costs one comparison each, not one a pair.
+3. Per token, every class is compared with the most typical class of the posting, if sizes and the tokens that it
+   shares with nobody allow a link. Classes so linked are one component; only classes of different components that
+   share a token are compared further, so a large group of near copies costs one comparison each, not one a pair.
 4. A pair whose prefixes under the further orders do not meet is dropped; the others are verified on whole sets.
 
 All of it is exact: orders and filters only save work.
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Hashes, map_batches, materialize, mix, only, words
@@ -24,7 +25,7 @@ WORDS = 5  # words in an n-gram
 SIMILARITY = (80, 100)  # at least 80 of 100
 BUCKETS = 1 << 20  # counters of the first order (8 MB on the driver and in every worker, at any size of the input)
 CHUNK = 1 << 14  # counters in a row while they are added up
-SALT_ROWS = 2_000  # classes compared with one leader in one task
+SALT_ROWS = 200  # classes compared with one leader in one task
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # seeds of the further orders
 
@@ -56,12 +57,15 @@ def prefix_size(n: int, similarity=SIMILARITY) -> int:
     return n - -(-a * n // b) + 1
 
 
-def first_prefix(tokens: np.ndarray, counts: np.ndarray, similarity=SIMILARITY) -> tuple[np.ndarray, float]:
-    """Prefix under the first order: tokens of rare buckets first. Also how common the prefix is on the whole."""
-    p = prefix_size(len(tokens), similarity)
+def first_prefix(tokens: np.ndarray, counts: np.ndarray, similarity=SIMILARITY) -> tuple[np.ndarray, int]:
+    """Prefix under the first order (tokens of rare buckets first), and where in that order it ends.
+
+    Of two prefixes, the one with the smaller end ends first; equal ends tell nothing.
+    """
     c = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
-    at = np.lexsort((tokens, c))[:p]
-    return tokens[at], float(np.log1p(c[at]).sum() / p)
+    at = np.lexsort((tokens, c))[:prefix_size(len(tokens), similarity)]
+    last = at[-1]
+    return tokens[at], (min(int(c[last]), (1 << 31) - 1) << 32) | (int(tokens[last]) >> 32)
 
 
 def further_prefixes(tokens: np.ndarray, similarity=SIMILARITY) -> list[np.ndarray]:
@@ -135,35 +139,42 @@ def key_documents(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     return map_batches(only(df, id_col, text_col), make, f"`{id_col}` {kind}, n_shingles bigint, set_key binary, k bigint, chunk int, data binary")
 
 
-def postings(df: DataFrame, text_col: str, n: int, counts) -> DataFrame:
-    """(token, k, typical) of every prefix token; ``k`` is the first half of the set key. Copies met together post once."""
+def prefixes(df: DataFrame, text_col: str, n: int, counts, copied) -> DataFrame:
+    """(c, k, twin, ends, tokens) of every set: a number for the row, the short key, whether the set may come from several
+    documents (a counter per bucket tells), and the tokens of its first prefix."""
     def make():
         hashes = Hashes()
 
         def run(batches):
-            table = counts.value
+            table, twins = counts.value, copied.value
+            c = TaskContext.get().partitionId() << 40  # near numbers for near rows, which shuffles well
             for b in batches:
                 seen: set[bytes] = set()
-                tokens, keys, typical, held = [], [], [], 0
+                rows, tokens, at = [], [], [0]
+
+                def out():
+                    return [*zip(*rows), pa.ListArray.from_arrays(np.array(at, dtype=np.int32), np.concatenate(tokens))]
+
                 for t in b.column(0).to_pylist():
                     s = shingles(t, hashes, n)
                     if not len(s) or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
-                    prefix, common = first_prefix(s, table)
+                    prefix, end = first_prefix(s, table)
+                    k = short_key(key)
+                    rows.append((c, k, bool(twins[k & (len(twins) - 1)]), end))
+                    c += 1
                     tokens.append(prefix.view(np.int64))
-                    keys.append(np.full(len(prefix), short_key(key)))
-                    typical.append(np.full(len(prefix), common, dtype=np.float32))
-                    held += len(prefix)
-                    if held > 200_000:
-                        yield [pa.array(np.concatenate(x)) for x in (tokens, keys, typical)]
-                        tokens, keys, typical, held = [], [], [], 0
-                if held:
-                    yield [pa.array(np.concatenate(x)) for x in (tokens, keys, typical)]
+                    at.append(at[-1] + len(prefix))
+                    if at[-1] > 500_000:
+                        yield out()
+                        rows, tokens, at = [], [], [0]
+                if rows:
+                    yield out()
 
         return run
 
-    return map_batches(only(df, text_col), make, "token bigint, k bigint, typical float")
+    return map_batches(only(df, text_col), make, "c bigint, k bigint, twin boolean, ends bigint, tokens array<bigint>")
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, n: int, wanted) -> DataFrame:
@@ -246,10 +257,65 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_batches(rows, make, "a binary, b binary")
 
 
-def fits(a, b, similarity=SIMILARITY):
-    """Whether two set sizes allow the similarity."""
+def feasible(a: str = "", b: str = "o_", similarity=SIMILARITY):
+    """Whether two classes (columns n, own, ends with the given name prefixes) can be similar.
+
+    Their sizes must allow it. And of two classes, all prefix tokens of the one whose prefix ends first that no other
+    class posts (``own``) are missing in the other one, which bounds what they share.
+    """
+    num, den = similarity
+    n, m, u, v, e, f = (F.col(x + c) for c in ("n", "own", "ends") for x in (a, b))
+
+    def reach(x, mine, y):
+        common = F.least(x - mine, y)
+        return common * den >= (x + y - common) * num
+
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & F.when(e < f, reach(n, u, m)).when(e > f, reach(m, v, n)).otherwise(reach(n, u, m) | reach(m, v, n))
+
+
+FACTS = ("c", "set_key", "n", "own", "ends")
+
+
+def fewer_tokens(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """Those rows (token, FACTS, ...) that are needed to meet every partner.
+
+    Two similar classes share all prefix tokens but those that the sizes allow to miss, so at least ``least`` of them. For the
+    sizes that a class meets, it then shares one of its first (number of tokens - least + 1) with each partner.
+    """
+    num, den = similarity
+    span = rows.groupBy("token").agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    met = rows.join(span, "token").groupBy("c").agg(F.max("n").alias("_n"), F.count(F.lit(1)).alias("_s"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    n = F.col("_n")
+    lo, hi = F.greatest("_lo", F.ceil(n * num / den)), F.least("_hi", F.floor(n * den / num))
+    after = lambda x: F.ceil(x * num / den) - 1  # tokens behind a prefix
+    common = lambda m: F.ceil((n + m) * num / (num + den))
+    # if its own prefix ends first; if the partner's does (the larger the partner, the more follows)
+    least = F.greatest(F.lit(1), F.least(common(lo) - after(n), common(hi) - after(hi) - 1))
+    met = met.select("c", (F.col("_s") - least + 1).alias("_keep")).where("_keep > 0")
+    order = Window.partitionBy("c").orderBy("token")  # the prefix of one class
+    return rows.join(met, "c").withColumn("_at", F.row_number().over(order)).where("_at <= _keep").drop("_at", "_keep")
+
+
+def met_pairs(rows: DataFrame, meets, similarity=SIMILARITY) -> DataFrame:
+    """Pairs (leader, member) of classes of ``rows`` that share a token, fulfil ``meets`` and share enough prefix tokens.
+
+    ``rows`` hold every prefix token that two classes to be paired share. What two classes share is at most these and,
+    of the class whose prefix ends first, all that follows it.
+    """
     num, den = similarity
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+    short = fewer_tokens(rows)
+    names = [c for c in short.columns if c != "token"]
+    other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in names])
+    pairs = short.join(other, "token").where((F.col("c") < F.col("o_c")) & meets & feasible())
+    pairs = materialize(pairs.select(*[F.col(x + c) for x in ("", "o_") for c in ("c", "set_key", "n", "ends")]).distinct(), "met")
+    sets = rows.groupBy("c").agg(F.collect_list("token").alias("t"))  # the prefix of one class
+    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("o_c"), F.col("t").alias("o_t")), "o_c")
+    after = lambda n: F.ceil(n * num / den) - 1
+    a, b = after(F.col("n")), after(F.col("o_n"))
+    rest = F.when(F.col("ends") < F.col("o_ends"), a).when(F.col("ends") > F.col("o_ends"), b).otherwise(F.greatest(a, b))
+    common = F.size(F.array_intersect("t", "o_t")) + rest
+    both = both.where(common * den >= (F.col("n") + F.col("o_n") - common) * num)
+    return both.select(F.least("set_key", "o_set_key").alias("leader"), F.greatest("set_key", "o_set_key").alias("member"))
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,35 +327,54 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     keyed = materialize(key_documents(df, id_col, text_col, n), "keys")
     docs = keyed.where("chunk is null").select(id_col, "n_shingles", "set_key", "k")
     counts = spark.sparkContext.broadcast(bucket_counts(keyed.where("chunk is not null"), BUCKETS))
-    classes = docs.where("set_key is not null").groupBy("set_key").agg(F.min("k").alias("k"), F.min("n_shingles").alias("n"), F.min(id_col).alias("rep"))
+    classes = docs.where("set_key is not null").groupBy("set_key").agg(
+        F.min("k").alias("k"), F.min("n_shingles").alias("n"), F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
 
-    posted = postings(df, text_col, n, counts)
-    tokens = posted.groupBy("token").agg(F.min("k").alias("_low"), F.max("k").alias("_high"), F.max_by("k", F.struct("typical", "k")).alias("lead"))
-    shared = posted.join(tokens.where("_low != _high").select("token", "lead"), "token").select("token", "k", "lead").distinct()
-    shared = materialize(shared, "postings")
-
-    wanted = spark.sparkContext.broadcast(bucket_counts(mark(shared), BUCKETS))
-    texts = texts_of(df, id_col, text_col, n, wanted).join(
-        classes.select("set_key", F.col("rep").alias("_rep")).join(shared.select("k").distinct().join(classes, "k").select("set_key"), "set_key"), "set_key")
-    texts = materialize(texts.where(F.col(id_col).eqNullSafe(F.col("_rep"))).select("set_key", "data"), "texts")
-
-    side = lambda x: classes.select(F.col("k").alias(x), F.col("set_key").alias(f"{x}_key"), F.col("n").alias(f"{x}_n"))
-    first = shared.where("k != lead").select("k", "lead").distinct().join(side("k"), "k").join(side("lead"), "lead")
-    first = first.where(fits(F.col("k_n"), F.col("lead_n"))).select(F.col("lead_key").alias("leader"), F.col("k_key").alias("member")).distinct()
+    # prefixes, once a class, and the tokens that at least two classes post
+    copied = spark.sparkContext.broadcast(bucket_counts(mark(classes.where("copies > 1")), BUCKETS))
+    found = materialize(prefixes(df, text_col, n, counts, copied), "prefixes")
+    twins = found.where("twin")
+    posted = found.where("not twin").union(twins.join(twins.groupBy("k").agg(F.min("c").alias("c")).select("c"), "c").select(found.columns))
+    rows = posted.select("c", F.explode("tokens").alias("token"))
+    tokens = rows.groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high").select("token")
+    shared = materialize(rows.join(tokens, "token").select("token", "c"), "shared")
+    num, den = SIMILARITY
+    size = F.col("n") - F.ceil(F.col("n") * num / den) + 1  # of the prefix
+    used = shared.groupBy("c").agg(F.count(F.lit(1)).alias("_used"))
+    facts = posted.select("c", "k", "ends").join(used, "c").join(classes, "k").select("c", "set_key", "n", (size - F.col("_used")).alias("own"), "ends")
+    full = shared.join(materialize(facts, "facts"), "c")
+    # the most typical class of a token has the smallest share of tokens of its own
+    typical = F.struct((-F.col("own") / F.col("n")).alias("t"), *FACTS)
+    leads = full.groupBy("token").agg(F.max(typical).alias("lead"))
+    led = full.join(leads, "token").select(*FACTS, *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in FACTS])
+    led = led.where((F.col("c") != F.col("lead_c")) & feasible("", "lead_"))
+    first = materialize(led.select(F.col("lead_set_key").alias("leader"), F.col("set_key").alias("member"), "c", F.col("lead_c").alias("_c")).distinct(), "first")
+
+    # classes that fit none of their leaders may still fit others
+    fit = first.select(F.explode(F.array("c", "_c")).alias("c")).distinct().withColumn("_fit", F.lit(True))
+    judged = full.join(fit, "c", "left").select("token", *FACTS, F.col("_fit").isNull().alias("lone"))
+    some = judged.groupBy("token").agg(F.max("lone").alias("_any")).where("_any").select("token")
+    first = first.select("leader", "member")
+    lone = met_pairs(judged.join(some, "token"), F.col("lone") | F.col("o_lone"))
+    first = materialize(first.union(lone).distinct(), "candidates")
+
+    wanted = first.select(F.explode(F.array("leader", "member")).alias("set_key")).distinct()
+    wanted = materialize(wanted.join(classes, "set_key").select("set_key", "k", F.col("rep").alias("_rep")), "wanted")
+    marks = spark.sparkContext.broadcast(bucket_counts(mark(wanted), BUCKETS))
+    texts = texts_of(df, id_col, text_col, n, marks).join(wanted.drop("k"), "set_key").where(F.col(id_col).eqNullSafe(F.col("_rep")))
+    texts = materialize(texts.select("set_key", "data"), "texts")
     links = materialize(verify(first, texts, n), "links")
 
-    # what the leaders have not brought together: classes of different components that share a token
+    # classes of different components that share a token, where no leader has brought them together
     found = components(links)
-    labelled = classes.join(found, classes["set_key"] == found["node"], "left").select("k", "set_key", "n", F.coalesce("component", "set_key").alias("comp"))
-    rest = shared.join(materialize(labelled, "labelled"), "k")
+    labelled = wanted.join(found, wanted["set_key"] == found["node"], "left").select("set_key", F.coalesce("component", "set_key").alias("comp"))
+    rest = full.join(materialize(labelled, "labelled"), "set_key")
     open_ = rest.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    rest = materialize(rest.join(open_, "token").select("token", "k", "lead", "set_key", "n", "comp"), "open")
-    other = rest.select("token", *[F.col(c).alias(f"o_{c}") for c in ("k", "set_key", "n", "comp")])
-    more = rest.join(other, "token").where(
-        (F.col("set_key") < F.col("o_set_key")) & (F.col("comp") != F.col("o_comp")) & fits(F.col("n"), F.col("o_n"))
-        & (F.col("k") != F.col("lead")) & (F.col("o_k") != F.col("lead")))
-    more = more.select(F.col("set_key").alias("leader"), F.col("o_set_key").alias("member")).distinct()
+    rest = materialize(rest.join(open_, "token").select("token", *FACTS, "comp"), "open")
+    more = met_pairs(rest, F.col("comp") != F.col("o_comp"))
+    done = first.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
+    more = more.join(done, ["leader", "member"], "left_anti")
     return docs, classes, links.union(materialize(verify(more, texts, n), "links"))
 
 
