@@ -198,7 +198,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
         def run(batches):
             name, ids, vectors, block = None, [], [], None
             for b in batches:
-                out = ([], [], [])
+                out = ([], [], [], [])
                 for lst, blk, role, key, v in zip(*(c.to_pylist() for c in b.columns)):
                     if (lst, blk) != name:
                         name, ids, vectors, block = (lst, blk), [], [], None
@@ -212,18 +212,21 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                         continue
                     score = (block * np.array(v, dtype=np.float64)).sum(1)  # row by row, so equal vectors score alike
                     best = np.lexsort((known, -score))[: k + 1]
-                    out[0].append(np.full(len(best), key))
-                    out[1].append(known[best])
-                    out[2].append(score[best])
+                    for column, x in zip(out, (key, lst, known[best], score[best])):
+                        column.append(x)
                 if out[0]:
-                    yield [np.concatenate(x) for x in out]
+                    yield list(out)
 
         return run
 
-    found = map_batches(rows, make, "q bigint, vec_id bigint, score double").distinct()  # a vector may be in several lists
-    nearest = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k + 1).drop("_r")
+    found = map_batches(rows, make, "q bigint, list int, ids array<bigint>, scores array<double>")  # a row for each query and block
+    each = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("low"), i.alias("vec_id")))
+    # first the blocks of a list, then the lists, of which a query visits at most BEAM; a vector in two lists counts once
+    merged = lambda x, n: F.slice(F.sort_array(F.flatten(F.collect_list(x))), 1, n)
+    whole = F.slice(F.array_distinct(merged("best", (k + 1) * REPLICAS)), 1, k + 1)
+    top = found.groupBy("q", "list").agg(merged(each, k + 1).alias("best")).groupBy("q").agg(whole.alias("best"))
     heads = distinct.select(F.col("id").alias("q"), "v")
-    each = asked.select(F.col("id").alias("query_id"), "v").join(heads, "v").select("query_id", "q").join(found, "q").where("query_id != vec_id")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    mine = asked.select(F.col("id").alias("query_id"), "v").join(heads, "v").select("query_id", "q").join(top, "q")
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = mine.select("query_id", F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", (-F.col("x.low")).alias("score"))
