@@ -273,7 +273,7 @@ def feasible(a: str = "", b: str = "o_", similarity=SIMILARITY):
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & F.when(e < f, reach(n, u, m)).when(e > f, reach(m, v, n)).otherwise(reach(n, u, m) | reach(m, v, n))
 
 
-FACTS = ("c", "set_key", "n", "own", "ends")
+FACTS = ("c", "n", "own", "ends")
 
 
 def fewer_tokens(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
@@ -297,7 +297,7 @@ def fewer_tokens(rows: DataFrame, similarity=SIMILARITY) -> DataFrame:
 
 
 def met_pairs(rows: DataFrame, meets, similarity=SIMILARITY) -> DataFrame:
-    """Pairs (leader, member) of classes of ``rows`` that share a token, fulfil ``meets`` and share enough prefix tokens.
+    """Pairs (c, o_c) of classes of ``rows`` that share a token, fulfil ``meets`` and share enough prefix tokens.
 
     ``rows`` hold every prefix token that two classes to be paired share. What two classes share is at most these and,
     of the class whose prefix ends first, all that follows it.
@@ -307,15 +307,14 @@ def met_pairs(rows: DataFrame, meets, similarity=SIMILARITY) -> DataFrame:
     names = [c for c in short.columns if c != "token"]
     other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in names])
     pairs = short.join(other, "token").where((F.col("c") < F.col("o_c")) & meets & feasible())
-    pairs = materialize(pairs.select(*[F.col(x + c) for x in ("", "o_") for c in ("c", "set_key", "n", "ends")]).distinct(), "met")
+    pairs = materialize(pairs.select(*[F.col(x + c) for x in ("", "o_") for c in ("c", "n", "ends")]).distinct(), "met")
     sets = rows.groupBy("c").agg(F.collect_list("token").alias("t"))  # the prefix of one class
     both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("o_c"), F.col("t").alias("o_t")), "o_c")
     after = lambda n: F.ceil(n * num / den) - 1
     a, b = after(F.col("n")), after(F.col("o_n"))
     rest = F.when(F.col("ends") < F.col("o_ends"), a).when(F.col("ends") > F.col("o_ends"), b).otherwise(F.greatest(a, b))
     common = F.size(F.array_intersect("t", "o_t")) + rest
-    both = both.where(common * den >= (F.col("n") + F.col("o_n") - common) * num)
-    return both.select(F.least("set_key", "o_set_key").alias("leader"), F.greatest("set_key", "o_set_key").alias("member"))
+    return both.where(common * den >= (F.col("n") + F.col("o_n") - common) * num).select("c", "o_c")
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -343,21 +342,26 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     size = F.col("n") - F.ceil(F.col("n") * num / den) + 1  # of the prefix
     used = shared.groupBy("c").agg(F.count(F.lit(1)).alias("_used"))
     facts = posted.select("c", "k", "ends").join(used, "c").join(classes, "k").select("c", "set_key", "n", (size - F.col("_used")).alias("own"), "ends")
-    full = shared.join(materialize(facts, "facts"), "c")
+    facts = materialize(facts, "facts")
     # the most typical class of a token has the smallest share of tokens of its own
-    typical = F.struct((-F.col("own") / F.col("n")).alias("t"), *FACTS)
-    leads = full.groupBy("token").agg(F.max(typical).alias("lead"))
-    led = full.join(leads, "token").select(*FACTS, *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in FACTS])
-    led = led.where((F.col("c") != F.col("lead_c")) & feasible("", "lead_"))
-    first = materialize(led.select(F.col("lead_set_key").alias("leader"), F.col("set_key").alias("member"), "c", F.col("lead_c").alias("_c")).distinct(), "first")
+    typical = facts.select("c", F.struct((-F.col("own") / F.col("n")).alias("t"), "c").alias("t"))
+    leads = shared.join(typical, "c").groupBy("token").agg(F.max("t")["c"].alias("o_c"))
+    led = shared.join(leads, "token").where("c != o_c").select("c", "o_c").distinct()
+    numbers = facts.select(*FACTS)
+    other = numbers.select(*[F.col(c).alias(f"o_{c}") for c in FACTS])
+    first = materialize(led.join(numbers, "c").join(other, "o_c").where(feasible()).select("c", "o_c"), "first")
 
     # classes that fit none of their leaders may still fit others
-    fit = first.select(F.explode(F.array("c", "_c")).alias("c")).distinct().withColumn("_fit", F.lit(True))
-    judged = full.join(fit, "c", "left").select("token", *FACTS, F.col("_fit").isNull().alias("lone"))
+    fit = first.select(F.explode(F.array("c", "o_c")).alias("c")).distinct().withColumn("_fit", F.lit(True))
+    judged = shared.join(fit, "c", "left").select("token", "c", F.col("_fit").isNull().alias("lone"))
     some = judged.groupBy("token").agg(F.max("lone").alias("_any")).where("_any").select("token")
-    first = first.select("leader", "member")
-    lone = met_pairs(judged.join(some, "token"), F.col("lone") | F.col("o_lone"))
-    first = materialize(first.union(lone).distinct(), "candidates")
+    lone = met_pairs(judged.join(some, "token").join(numbers, "c"), F.col("lone") | F.col("o_lone"))
+    keys = facts.select("c", "set_key")
+    named = lambda t: t.join(keys, "c").join(keys.select(F.col("c").alias("o_c"), F.col("set_key").alias("o_key")), "o_c").select(
+        F.least("set_key", "o_key").alias("leader"), F.greatest("set_key", "o_key").alias("member"), "c", "o_c")
+    # the leader of the token leads the comparison, so that its text is read once
+    first = first.join(keys, "c").join(keys.select(F.col("c").alias("o_c"), F.col("set_key").alias("leader")), "o_c").select("leader", F.col("set_key").alias("member"))
+    first = materialize(first.union(named(lone).select("leader", "member")).distinct(), "candidates")
 
     wanted = first.select(F.explode(F.array("leader", "member")).alias("set_key")).distinct()
     wanted = materialize(wanted.join(classes, "set_key").select("set_key", "k", F.col("rep").alias("_rep")), "wanted")
@@ -368,13 +372,15 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
     # classes of different components that share a token, where no leader has brought them together
     found = components(links)
-    labelled = wanted.join(found, wanted["set_key"] == found["node"], "left").select("set_key", F.coalesce("component", "set_key").alias("comp"))
-    rest = full.join(materialize(labelled, "labelled"), "set_key")
-    open_ = rest.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    rest = materialize(rest.join(open_, "token").select("token", *FACTS, "comp"), "open")
-    more = met_pairs(rest, F.col("comp") != F.col("o_comp"))
+    labelled = wanted.join(found, wanted["set_key"] == found["node"], "left").select("set_key", F.coalesce("component", "set_key").alias("comp")).join(keys, "set_key")
+    labelled = materialize(labelled, "labelled")
+    short = labelled.groupBy("comp").agg(F.min("c").alias("group"))  # a number for the component
+    rest = shared.join(materialize(labelled.join(short, "comp").select("c", "group"), "groups"), "c")
+    open_ = rest.groupBy("token").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).where("_lo != _hi").select("token")
+    rest = materialize(rest.join(open_, "token").join(numbers, "c").select("token", *FACTS, "group"), "open")
+    more = named(met_pairs(rest, F.col("group") != F.col("o_group")))
     done = first.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    more = more.join(done, ["leader", "member"], "left_anti")
+    more = more.select("leader", "member").join(done, ["leader", "member"], "left_anti")
     return docs, classes, links.union(materialize(verify(more, texts, n), "links"))
 
 
