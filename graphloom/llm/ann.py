@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from a bounded sample, split until no list holds much more than its share, and form an in-memory
-graph that is searched greedily. Every vector is stored in its nearest list and, near a border, in further ones.
-A query visits the lists whose centroids are about as near as the nearest one. Nearness is the inner product;
+graph that is searched greedily to store. Every vector is stored in its nearest list and, near a border, in further ones.
+A query visits all lists whose centroids are about as near as the nearest one, however many these are. Nearness is the inner product;
 vectors get one more component that gives all the same length, so that it agrees with distance.
 """
 
@@ -19,7 +19,7 @@ MAX_LISTS = 2_048  # lists at most; beyond, lists grow and are cut into blocks
 BLOCK_ROWS = 4_096  # vectors of a list compared by one task at a time
 REPLICAS, BORDER = 2, 1.02  # a vector is in lists up to this ratio of its distance to the nearest, in so many at most
 RATIO, LEAST_LISTS = 1.13, 8  # a query visits lists up to this ratio, and at least so many
-DEGREE, BEAM, STORE_BEAM = 24, 256, 16  # neighbours of a centroid in the graph; width of a search, for a query and to store
+DEGREE, STORE_BEAM = 24, 16  # neighbours of a centroid in the graph; width of a search to store
 SEED = 7
 
 
@@ -69,7 +69,7 @@ class Centroids:
             gap = np.minimum(gap, np.where(np.isfinite(d[far[-1]]), d[far[-1]], 0.0))
         self.entries = np.array(sorted(set(far)))
 
-    def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int = STORE_BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances) of the nearest centroids found for every row of ``q``, nearest first; -1 fills up."""
         n, width = len(self.points), min(beam, len(self.points))
         rows = np.arange(len(q))
@@ -105,6 +105,12 @@ class Centroids:
             ids[live], dist[live] = np.take_along_axis(both_i, order, 1), np.take_along_axis(both_d, order, 1)
         return np.where(np.isfinite(dist), ids, -1), dist
 
+    def ranked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, but with all centroids: no width ends the visit of a query, and none is out of the graph's reach."""
+        d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (self.points ** 2).sum(1)[None, :] - 2.0 * (q @ self.points.T), 0.0))
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.take_along_axis(d, ids, 1)
+
 
 def usable(vector):
     """Whether a vector takes part: not null, not all zero, every component a finite number."""
@@ -131,7 +137,7 @@ def _lists(df: DataFrame, centroids, top: float, replicas: int | None, ratio: fl
                 for lo in range(0, b.num_rows, 512):
                     part = b.slice(lo, 512)
                     x = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(1).to_pylist()])
-                    ids, dist = c.search(on_sphere(x, top), STORE_BEAM) if sizes is None else c.search(query_on_sphere(x, top), BEAM)
+                    ids, dist = c.search(on_sphere(x, top), STORE_BEAM) if sizes is None else c.ranked(query_on_sphere(x, top))
                     take = (ids >= 0) & (dist <= ratio * dist[:, :1] + 1e-12)
                     if sizes is None:
                         take[:, replicas:] = False
@@ -221,7 +227,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
 
     found = map_batches(rows, make, "q bigint, list int, ids array<bigint>, scores array<double>")  # a row for each query and block
     each = F.zip_with("ids", "scores", lambda i, x: F.struct((-x).alias("low"), i.alias("vec_id")))
-    # first the blocks of a list, then the lists, of which a query visits at most BEAM; a vector in two lists counts once
+    # first the blocks of a list, then the lists, of which a query visits at most all; a vector in two lists counts once
     merged = lambda x, n: F.slice(F.sort_array(F.flatten(F.collect_list(x))), 1, n)
     whole = F.slice(F.array_distinct(merged("best", (k + 1) * REPLICAS)), 1, k + 1)
     top = found.groupBy("q", "list").agg(merged(each, k + 1).alias("best")).groupBy("q").agg(whole.alias("best"))

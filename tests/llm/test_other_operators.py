@@ -278,6 +278,22 @@ def test_posting_lists_odd_vectors(spark):
     assert ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_posting_lists_recall_with_many_lists(spark):
+    """More lists within the ratio than any fixed width: all of them are visited."""
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(3000, 256)), rng.normal(size=(40, 256))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(10_000 + i, v.tolist()) for i, v in enumerate(q)], "vec_id long, embedding array<double>")
+    got = ann.search(df, asked, list_rows=6).toPandas()
+    hit = sum(len(set(g.vec_id) & set(np.argsort(-(x @ q[i - 10_000]))[:20])) for i, g in got.groupby("query_id"))
+    assert got.query_id.nunique() == 40 and hit / (20 * 40) >= 0.9
+    c = ann.Centroids(ann.balanced_centroids(x, 500))
+    ids, dist = c.ranked(x[:50])
+    true = np.sort(np.sqrt(((x[:50, None] - c.points[None]) ** 2).sum(-1)), axis=1)
+    assert len(c.points) > 256 and ids.shape == true.shape and np.allclose(dist, true)
+
+
 def test_centroid_graph_finds_the_nearest():
     rng = np.random.default_rng(10)
     x = rng.normal(size=(3000, 16))
