@@ -34,6 +34,11 @@ def op3_spotsigs(spark, sf_dir):
     return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_near_pairs(spark, sf_dir):
+    return spotsigs.near_pairs(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_url_filter(spark, sf_dir):
     labelled = spark.createDataFrame(url_filter.LABELLED, "url string, label int")

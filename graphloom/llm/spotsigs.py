@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Hashes, map_batches, materialize, mix, only
+from graphloom.llm.ngram_join import BUCKETS, bucket_counts, counter_rows
 
 CHAIN = 2  # content words in a chain
 SKETCH = 128  # signatures kept in a fingerprint: the smallest; a set of no more is kept whole
+CELL_ROWS = 256  # sets of one signature that meet in one task, on either side
 #: Anchors: frequent function words of English, German, Spanish and French.
 ANCHORS = frozenset(
     "a an and are as at be but by for from had has have he her his if in into is it its no not of on or she so that the their then there they "
@@ -66,24 +68,31 @@ def signatures(text: str, spots: Spots, chain: int = CHAIN) -> np.ndarray:
     return np.unique((value >> np.uint64(32)).astype(np.uint32))
 
 
+def set_hash(sigs: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(sigs.astype(">u4").tobytes())
+
+
 def fingerprint(sigs: np.ndarray, size: int = SKETCH) -> str:
-    """Fingerprint text: number of signatures, then the smallest ``size`` of them, all in hex."""
-    return f"{len(sigs):08x}" + sigs[:size].astype(">u4").tobytes().hex()
+    """Fingerprint text: number of signatures, then the smallest ``size`` of them and, if that is not all, a 128-bit
+    hash of the whole set, all in hex. Different sets have different fingerprints."""
+    return f"{len(sigs):08x}" + sigs[:size].astype(">u4").tobytes().hex() + (set_hash(sigs).hex() if len(sigs) > size else "")
 
 
-def parse(fp: str) -> tuple[int, np.ndarray]:
+def parse(fp: str, size: int = SKETCH) -> tuple[int, np.ndarray]:
     raw = bytes.fromhex(fp)
-    return int.from_bytes(raw[:4], "big"), np.frombuffer(raw[4:], dtype=">u4").astype(np.uint32)
+    n = int.from_bytes(raw[:4], "big")
+    return n, np.frombuffer(raw[4:4 + 4 * min(n, size)], dtype=">u4").astype(np.uint32)
 
 
 def likeness(a: str, b: str, at_least: float = 0.0, size: int = SKETCH) -> float:
     """Jaccard of two fingerprints, pruned: 0 as soon as the set lengths rule out ``at_least``.
 
     Exact while the sets are kept whole; else estimated from the ``size`` smallest signatures of the union.
+    ``near_pairs`` does not use this but the whole sets.
     """
     if a == b:
         return 1.0
-    (n, x), (m, y) = parse(a), parse(b)
+    (n, x), (m, y) = parse(a, size), parse(b, size)
     if not n or not m or min(n, m) < at_least * max(n, m):
         return 0.0
     common = np.intersect1d(x, y, assume_unique=True)
@@ -93,7 +102,8 @@ def likeness(a: str, b: str, at_least: float = 0.0, size: int = SKETCH) -> float
     # beyond the largest signature that a cut sketch keeps, nothing is known
     known = min([v[-1] for v, k in ((x, n), (y, m)) if k > size])
     union = union[union <= known][:size]
-    return float(np.isin(union, common, assume_unique=True).mean())
+    most = min(n, m) / max(n, m) if n != m else (n - 1) / (n + 1)  # of different sets
+    return min(most, float(np.isin(union, common, assume_unique=True).mean()))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SKETCH) -> DataFrame:
@@ -114,40 +124,104 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(only(df, id_col, text_col), make, f"`{id_col}` {kind}, n_signatures bigint, fingerprint string")
 
 
+def whole_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n, sigs): the different non-empty signature sets of the texts, whole, under their 128-bit hash."""
+    def make():
+        spots = Spots()
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    sets = {set_hash(x): x for t in b.column(0).slice(lo, 256).to_pylist() if len(x := signatures(t or "", spots))}
+                    yield [list(sets), [len(x) for x in sets.values()], [x.astype(">u4").tobytes() for x in sets.values()]]
+
+        return run
+
+    return map_batches(only(df, text_col), make, "key binary, n bigint, sigs binary").dropDuplicates(["key"])
+
+
 def near_pairs(df: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fingerprint, near_fingerprint, similarity) between different fingerprints of similarity ``at_least`` or more.
 
     Equal fingerprints are one class; join ``fingerprints`` to get its members. Classes are partitioned by set
     length in steps of 1/at_least, so a partner lies in the same or the next partition. Within these, classes
-    meet on a signature of the prefix that a partner must share, rarest signatures first.
-    Empty texts have no partners. Sets above SKETCH signatures are compared by their sketches.
+    meet on a signature of the prefix that a partner must share, rarest signatures first, if the signatures behind
+    suffice; sets of a frequent signature meet in cells of CELL_ROWS by CELL_ROWS. Whole sets are compared, however
+    long they are: the result is exact. Empty texts have no partners.
     """
-    prints = fingerprints(df, id_col, text_col).where("n_signatures > 0").select("n_signatures", "fingerprint").distinct()
-    prints = materialize(prints, "spots")
-    step = math.log(1 / at_least)
-    kept = F.least("n_signatures", F.lit(SKETCH))
-    sig = F.expr("transform(sequence(0, int(least(n_signatures, %d)) - 1), i -> substring(fingerprint, 9 + 8 * i, 8))" % SKETCH)
-    rows = prints.withColumn("part", F.floor(F.log(F.col("n_signatures").cast("double")) / step).cast("int")).withColumn("sig", F.explode(sig))
-    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_df"))
-    order = Window.partitionBy("fingerprint").orderBy("_df", "sig")  # at most SKETCH rows each
-    prefix = rows.join(counts, "sig").withColumn("_at", F.row_number().over(order))
-    # sketches are samples, so for cut sets every kept signature takes part
-    needed = F.when(F.col("n_signatures") > SKETCH, kept).otherwise(F.col("n_signatures") - F.ceil(F.col("n_signatures") * at_least - 1e-9) + 1)
-    prefix = prefix.where((F.col("_at") <= needed) & (F.col("_df") > 1)).select("sig", "part", "fingerprint", "n_signatures")
-    near = F.explode(F.array(F.col("part"), F.col("part") + 1))
-    left = prefix.withColumn("_part", near)
-    right = prefix.select("sig", F.col("part").alias("_part"), F.col("fingerprint").alias("near_fingerprint"), F.col("n_signatures").alias("_m"))
-    shorter = F.struct("n_signatures", "fingerprint") < F.struct("_m", "near_fingerprint")
-    pairs = left.join(right, ["sig", "_part"]).where(shorter & (F.col("n_signatures") >= F.col("_m") * at_least)).select("fingerprint", "near_fingerprint").distinct()
+    spark = df.sparkSession
+    sets = materialize(whole_sets(df, id_col, text_col), "spots")
+
+    def tally():
+        def run(batches):
+            counts = np.zeros(BUCKETS, dtype=np.uint32)
+            for b in batches:
+                for raw in b.column(0).to_pylist():
+                    np.add.at(counts, np.frombuffer(raw, dtype=">u4").astype(np.int64) & (BUCKETS - 1), np.uint32(1))
+            if counts.any():
+                yield list(zip(*counter_rows(counts)))
+
+        return run
+
+    counts = spark.sparkContext.broadcast(bucket_counts(map_batches(sets.select("sigs"), tally, "chunk int, data binary"), BUCKETS))
+
+    def post():
+        def run(batches):
+            often = counts.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    keys, ns, parts, sigs, at = [], [], [], [], []
+                    for key, n, raw in zip(*(c.slice(lo, 256).to_pylist() for c in b.columns)):
+                        x = np.frombuffer(raw, dtype=">u4").astype(np.int64)
+                        size = n - math.ceil(n * at_least - 1e-9) + 1
+                        x = x[np.lexsort((x, often[x & (BUCKETS - 1)]))][:size]  # any one order of all signatures is right
+                        # a step is a little wider than 1/at_least, so that rounding never puts a partner two away
+                        part = n if at_least >= 1 else int(math.log(n) / (math.log(1 / at_least) * (1 + 1e-9)))
+                        keys += [key] * len(x)
+                        ns += [n] * len(x)
+                        parts += [part] * len(x)
+                        sigs += x.tolist()
+                        at += range(len(x))
+                    yield [sigs, parts, keys, ns, at]
+
+        return run
+
+    prefix = materialize(map_batches(sets, post, "sig bigint, part int, key binary, n bigint, at int"), "prefixes")
+    met = prefix.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("_rows"))
+    near = F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")
+    lefts = met.select("sig", near, F.col("_rows").alias("_l"), F.lit(0).cast("long").alias("_r"))
+    sides = lefts.union(met.select("sig", "part", F.lit(0).cast("long"), F.col("_rows"))).groupBy("sig", "part").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    cells = lambda c: F.ceil(F.col(c) / CELL_ROWS).cast("int")
+    # signatures with two sets at least that can meet
+    sides = materialize(sides.where("_r > 0 and _l > 1").select("sig", "part", cells("_l").alias("_a"), cells("_r").alias("_b")), "sides")
+    own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = prefix.select("sig", near, "key", "n", "at").join(sides, ["sig", "part"]).withColumn("_x", own("_a")).withColumn("_y", every("_b"))
+    right = prefix.join(sides, ["sig", "part"]).withColumn("_y", own("_b")).withColumn("_x", every("_a"))
+    right = right.select("sig", "part", "_x", "_y", F.col("key").alias("near_key"), F.col("n").alias("m"), F.col("at").alias("near_at"))
+    rest = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("near_at"))  # common at most, if this is the first common one
+    enough = rest >= F.ceil((F.col("n") + F.col("m")) * (at_least / (1 + at_least)) - 1e-6)
+    shorter = F.struct("n", "key") < F.struct("m", "near_key")
+    pairs = left.join(right, ["sig", "part", "_x", "_y"]).where(shorter & (F.col("n") >= F.col("m") * at_least - 1e-9) & enough).select("key", "near_key").distinct()
 
     def make():
         def run(batches):
             for b in batches:
-                yield [b.column(0), b.column(1), [likeness(x, y, at_least) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]]
+                for lo in range(0, b.num_rows, 256):
+                    out = []
+                    for one, two in zip(*(c.slice(lo, 256).to_pylist() for c in b.columns)):
+                        x, y = (np.frombuffer(raw, dtype=">u4").astype(np.uint32) for raw in (one, two))
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if (alike := common / (len(x) + len(y) - common)) >= at_least:
+                            out.append((fingerprint(x), fingerprint(y), alike))
+                    if out:
+                        yield list(zip(*out))
 
         return run
 
-    return map_batches(pairs, make, "fingerprint string, near_fingerprint string, similarity double").where(F.col("similarity") >= at_least)
+    facts = sets.select("key", "sigs")
+    both = pairs.join(facts, "key").join(facts.select(F.col("key").alias("near_key"), F.col("sigs").alias("near_sigs")), "near_key")
+    return map_batches(both.select("sigs", "near_sigs"), make, "fingerprint string, near_fingerprint string, similarity double")
 
 
 def with_next(df: DataFrame, make, ddl: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

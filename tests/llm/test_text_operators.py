@@ -160,6 +160,34 @@ def test_spotsigs_pairs(spark):
     assert got == want and want
 
 
+def test_spotsigs_pairs_of_long_texts(spark):
+    """Sets of more than SKETCH signatures are told apart and compared whole."""
+    random.seed(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = [" ".join(f"the {a} {b}" for a, b in zip(random.choices(words, k=300), random.choices(words, k=300))) for _ in range(3)]
+    rows = []
+    for i, text in enumerate(base):
+        for j in range(0, 50, 4):
+            w = text.split()
+            for at in random.sample(range(300), j):
+                w[3 * at + 1] = random.choice(words)
+            rows.append((i * 100 + j, " ".join(w)))
+    sets = {k: spotsigs.signatures(t, spotsigs.Spots()) for k, t in rows}
+    # one signature above the sketch differs: the counts and the sketches agree
+    cut = sets[0][:-1].copy(), np.concatenate([sets[0][:-2], sets[0][-1:]])
+    assert spotsigs.fingerprint(cut[0]) != spotsigs.fingerprint(cut[1]) and spotsigs.likeness(*map(spotsigs.fingerprint, cut)) < 1.0
+    prints = {spotsigs.fingerprint(x): set(x.tolist()) for x in sets.values()}
+    want = {frozenset((a, b)): len(x & y) / len(x | y) for a, x in prints.items() for b, y in prints.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    got = spotsigs.near_pairs(frame(spark, rows), 0.8).collect()
+    assert min(map(len, prints.values())) > spotsigs.SKETCH and len(got) == len(want) > 20
+    assert {frozenset((r["fingerprint"], r["near_fingerprint"])): r["similarity"] for r in got} == want
+
+
+def test_spotsigs_pairs_of_a_frequent_signature(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "CELL_ROWS", 3)
+    test_spotsigs_pairs(spark)
+
+
 def brute_components(rows):
     def tokens(t):
         w = (t or "").encode().lower().split()
