@@ -288,10 +288,14 @@ def test_posting_lists_recall_with_many_lists(spark):
     got = ann.search(df, asked, list_rows=6).toPandas()
     hit = sum(len(set(g.vec_id) & set(np.argsort(-(x @ q[i - 10_000]))[:20])) for i, g in got.groupby("query_id"))
     assert got.query_id.nunique() == 40 and hit / (20 * 40) >= 0.9
-    c = ann.Centroids(ann.balanced_centroids(x, 500))
-    ids, dist = c.ranked(x[:50])
-    true = np.sort(np.sqrt(((x[:50, None] - c.points[None]) ** 2).sum(-1)), axis=1)
-    assert len(c.points) > 256 and ids.shape == true.shape and np.allclose(dist, true)
+    points = x[:700]
+    centroids = spark.sparkContext.broadcast(ann.Centroids(np.concatenate([points, np.zeros((700, 1))], axis=1)))
+    visits = ann._lists(asked.selectExpr("vec_id AS id", "embedding AS v"), centroids, 1.0, None, ann.RATIO, dict.fromkeys(range(700), 100), 21, "id")
+    seen = visits.groupBy("id").count().toPandas().set_index("id")["count"]
+    u = q / np.sqrt((q * q).sum(1))[:, None]
+    d = np.sqrt(np.maximum(2.0 - 2.0 * u @ points.T, 0.0))
+    within = (d <= ann.RATIO * d.min(1)[:, None] + 1e-12).sum(1)
+    assert within.max() > 256 and [seen[10_000 + i] for i in range(40)] == within.tolist()
 
 
 def test_centroid_graph_finds_the_nearest():
