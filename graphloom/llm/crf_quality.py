@@ -7,6 +7,7 @@ weighted by line length, calibrated on the training documents.
 The field is fitted on the driver on a bounded sample of labelled documents; scoring runs in the tasks.
 """
 
+import pickle
 from dataclasses import dataclass
 from operator import eq
 
@@ -236,12 +237,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return run
 
     chains = map_batches(rows, make, "y int, n int, data binary")
-    found = chains.orderBy(F.xxhash64("data"), "y").limit(max_chains).collect()
-    ys = np.array([r["y"] for r in found])
-    if not len(ys) or ys.min() == ys.max():
-        return default_field()
-    x = np.concatenate([np.frombuffer(r["data"], dtype="<f8").reshape(r["n"], -1) for r in found])
-    return fit(x[:, :-1], np.array([r["n"] for r in found]), x[:, -1], ys)
+
+    def fitted():
+        def run(batches):
+            ys, ns, data = [], [], []
+            for b in batches:
+                for column, values in zip((ys, ns, data), b.columns):
+                    column += values.to_pylist()
+            if len(set(ys)) == 2:
+                x = np.concatenate([np.frombuffer(d, dtype="<f8").reshape(n, -1) for n, d in zip(ns, data)])
+                yield [[pickle.dumps(fit(x[:, :-1], np.array(ns), x[:, -1], np.array(ys)))]]
+
+        return run
+
+    # one task, as the bounded sample is one partition: the driver gets the weights alone
+    found = map_batches(chains.orderBy(F.xxhash64("data"), "y").limit(max_chains).coalesce(1), fitted, "field binary").collect()
+    return pickle.loads(found[0]["field"]) if found else default_field()
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), cut: float = CUT) -> DataFrame:

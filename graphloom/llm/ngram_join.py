@@ -5,7 +5,8 @@
 3. Per token, every class is compared with the most typical class of the posting, if sizes and the tokens that it
    shares with nobody allow a link. Classes so linked are one component; only classes of different components that
    share a token are compared further, so a large group of near copies costs one comparison each, not one a pair.
-4. A pair whose prefixes under the further orders do not meet is dropped; the others are verified on whole sets.
+4. Classes of candidate pairs give digests of their prefixes under the further orders. Pairs whose prefixes do not meet under
+   every order are dropped before any text moves; the others are verified on whole sets.
 
 All of it is exact: orders and filters only save work.
 """
@@ -69,8 +70,9 @@ def first_prefix(tokens: np.ndarray, counts: np.ndarray, similarity=SIMILARITY)
 
 
 def further_prefixes(tokens: np.ndarray, similarity=SIMILARITY) -> list[np.ndarray]:
+    """Prefixes under the further orders, as 32-bit digests: equal tokens have equal digests, so none that meets is missed."""
     p = prefix_size(len(tokens), similarity)
-    return [np.partition(mix(tokens ^ seed), p - 1)[:p] for seed in _ORDERS]
+    return [np.partition(mix(tokens ^ seed), p - 1)[:p].astype(np.uint32).view(np.int32) for seed in _ORDERS]
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity=SIMILARITY) -> bool:
@@ -178,7 +180,8 @@ def prefixes(df: DataFrame, text_col: str, n: int, counts, copied) -> DataFrame:
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, n: int, wanted) -> DataFrame:
-    """(id, set_key, data): compressed texts whose key may be wanted (a counter per bucket tells)."""
+    """(id, set_key, data, second, third): compressed texts whose key may be wanted (a counter per bucket tells), and digests of
+    their prefixes under the further orders."""
     kind = dict(df.dtypes)[id_col]
 
     def make():
@@ -193,13 +196,45 @@ def texts_of(df: DataFrame, id_col: str, text_col: str, n: int, wanted) -> DataF
                     for key_of_row, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         s = shingles(t, hashes, n)
                         if len(s) and counts[short_key(key := set_key(s)) & (len(counts) - 1)]:
-                            rows.append((key_of_row, key, zip_.compress(t.encode("utf-8", "surrogatepass"))))
+                            rows.append((key_of_row, key, zip_.compress(t.encode("utf-8", "surrogatepass")), *further_prefixes(s)))
                     if rows:
                         yield list(zip(*rows))
 
         return run
 
-    return map_batches(only(df, id_col, text_col), make, f"`{id_col}` {kind}, set_key binary, data binary")
+    return map_batches(only(df, id_col, text_col), make, f"`{id_col}` {kind}, set_key binary, data binary, second array<int>, third array<int>")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Rows (token, c) whose token several rows hold. Rows are sorted by token and passed through, however many share one."""
+    def make():
+        def run(batches):
+            token, c = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)  # the last row, and whether it repeats
+            met = False
+            for b in batches:
+                token, c = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
+                if not len(token):
+                    continue
+                same = token[1:] == token[:-1]
+                keep = np.r_[met, same] | np.r_[same, False]
+                yield [pa.array(token[:-1][keep[:-1]]), pa.array(c[:-1][keep[:-1]])]
+                met = bool(keep[-1])
+                token, c = token[-1:], c[-1:]
+            if met:
+                yield [pa.array(token), pa.array(c)]
+
+        return run
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(rows.select("token", "c").repartition(parts, "token").sortWithinPartitions("token"), make, "token bigint, c bigint")
+
+
+def met_under_all(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (leader, member) whose prefixes meet under the further orders, too; no text is read."""
+    own = lambda name: texts.select(F.col("set_key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("second", "third")])
+    both = pairs.join(own("member"), "member").join(own("leader"), "leader")
+    meet = [F.arrays_overlap(f"leader_{c}", f"member_{c}") for c in ("second", "third")]
+    return both.where(meet[0] & meet[1]).select("leader", "member")
 
 
 def mark(keys: DataFrame) -> DataFrame:
@@ -224,6 +259,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     leader and then its members one by one.
     """
     spark = pairs.sparkSession
+    pairs = materialize(met_under_all(pairs, texts), "met")
+    texts = texts.select("set_key", "data")
     many = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_m"))
     dealt = pairs.join(many, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("_m") / SALT_ROWS)).cast("int"))
     dealt = materialize(dealt.select("leader", "member", "salt"), "pairs")
@@ -237,17 +274,17 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         hashes, unzip = Hashes(), zstandard.ZstdDecompressor()
 
         def run(batches):
-            head, own, orders = None, None, None
+            head, own = None, None
             for b in batches:
                 out = []
                 for leader, role, member, data in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                     s = shingles(unzip.decompress(data).decode("utf-8", "surrogatepass"), hashes, n)
                     if role == 0:
-                        head, own, orders = leader, s, further_prefixes(s)
+                        head, own = leader, s
                         continue
                     if head != leader:
                         raise RuntimeError("a leader's text is missing")
-                    if all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(orders, further_prefixes(s))) and linked(own, s):
+                    if linked(own, s):
                         out.append((leader, member))
                 if out:
                     yield list(zip(*out))
@@ -303,7 +340,8 @@ def met_pairs(rows: DataFrame, meets, similarity=SIMILARITY) -> DataFrame:
     of the class whose prefix ends first, all that follows it.
     """
     num, den = similarity
-    short = fewer_tokens(rows)
+    rows = materialize(rows, "met-rows")
+    short = materialize(fewer_tokens(rows), "short")
     names = [c for c in short.columns if c != "token"]
     other = short.select("token", *[F.col(c).alias(f"o_{c}") for c in names])
     pairs = short.join(other, "token").where((F.col("c") < F.col("o_c")) & meets & feasible())
@@ -333,11 +371,11 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     # prefixes, once a class, and the tokens that at least two classes post
     copied = spark.sparkContext.broadcast(bucket_counts(mark(classes.where("copies > 1")), BUCKETS))
     found = materialize(prefixes(df, text_col, n, counts, copied), "prefixes")
+    counts.destroy()
+    copied.destroy()
     twins = found.where("twin")
     posted = found.where("not twin").union(twins.join(twins.groupBy("k").agg(F.min("c").alias("c")).select("c"), "c").select(found.columns))
-    rows = posted.select("c", F.explode("tokens").alias("token"))
-    tokens = rows.groupBy("token").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low != _high").select("token")
-    shared = materialize(rows.join(tokens, "token").select("token", "c"), "shared")
+    shared = materialize(repeated(posted.select("c", F.explode("tokens").alias("token"))), "shared")
     num, den = SIMILARITY
     size = F.col("n") - F.ceil(F.col("n") * num / den) + 1  # of the prefix
     used = shared.groupBy("c").agg(F.count(F.lit(1)).alias("_used"))
@@ -353,7 +391,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
     # classes that fit none of their leaders may still fit others
     fit = first.select(F.explode(F.array("c", "o_c")).alias("c")).distinct().withColumn("_fit", F.lit(True))
-    judged = shared.join(fit, "c", "left").select("token", "c", F.col("_fit").isNull().alias("lone"))
+    judged = materialize(shared.join(fit, "c", "left").select("token", "c", F.col("_fit").isNull().alias("lone")), "judged")
     some = judged.groupBy("token").agg(F.max("lone").alias("_any")).where("_any").select("token")
     lone = met_pairs(judged.join(some, "token").join(numbers, "c"), F.col("lone") | F.col("o_lone"))
     keys = facts.select("c", "set_key")
@@ -367,7 +405,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     wanted = materialize(wanted.join(classes, "set_key").select("set_key", "k", F.col("rep").alias("_rep")), "wanted")
     marks = spark.sparkContext.broadcast(bucket_counts(mark(wanted), BUCKETS))
     texts = texts_of(df, id_col, text_col, n, marks).join(wanted.drop("k"), "set_key").where(F.col(id_col).eqNullSafe(F.col("_rep")))
-    texts = materialize(texts.select("set_key", "data"), "texts")
+    texts = materialize(texts.select("set_key", "data", "second", "third"), "texts")
+    marks.destroy()
     links = materialize(verify(first, texts, n), "links")
 
     # classes of different components that share a token, where no leader has brought them together
@@ -377,15 +416,16 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     short = labelled.groupBy("comp").agg(F.min("c").alias("group"))  # a number for the component
     rest = shared.join(materialize(labelled.join(short, "comp").select("c", "group"), "groups"), "c")
     open_ = rest.groupBy("token").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).where("_lo != _hi").select("token")
-    rest = materialize(rest.join(open_, "token").join(numbers, "c").select("token", *FACTS, "group"), "open")
+    rest = rest.join(open_, "token").join(numbers, "c").select("token", *FACTS, "group")
     more = named(met_pairs(rest, F.col("group") != F.col("o_group")))
     done = first.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     more = more.select("leader", "member").join(done, ["leader", "member"], "left_anti")
     return docs, classes, links.union(materialize(verify(more, texts, n), "links"))
 
 
-def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: size of its set and the smallest id that links reach.
+def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, keys: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: size of its set and the smallest id that links reach. With ``keys`` also
+    set_key, and leads: whether the row has that id and, of the sets of the component under that id, the smallest key.
 
     Null and empty texts have no shingles and are linked with nothing; their component is their own id. Copies,
     repeated rows and ties share the component of their class. Null ids take part, but name no component unless
@@ -394,7 +434,11 @@ def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs, classes, links = classify(df, id_col, text_col, n)
     found = components(links)
     labelled = classes.join(found, classes["set_key"] == found["node"], "left").select("set_key", "rep", F.coalesce("component", "set_key").alias("comp"))
-    names = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(names, "comp").select("set_key", "component_id")
+    names = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "set_key"))["set_key"].alias("_key"))
+    named = labelled.join(names, "comp").select("set_key", "component_id", "_key")
     out = docs.join(named, "set_key", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    shown = [id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id")]
+    if keys:
+        first = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("set_key") == F.col("_key"))
+        shown += ["set_key", (F.col("set_key").isNull() | first).alias("leads")]
+    return out.select(*shown)

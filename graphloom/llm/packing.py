@@ -7,6 +7,7 @@ length. A distributed rank per length then joins every piece to its slot.
 """
 
 import heapq
+import json
 import zlib
 
 import numpy as np
@@ -21,26 +22,40 @@ RANK_ROWS = 20_000  # pieces of one length numbered by one task
 _encodings: dict = {}
 
 
-def _encoding(path: str, pattern: str):
-    key = (path, pattern)
+def _encoding(path: str, pattern: str, added: dict[str, int]):
+    key = (path, pattern, *sorted(added.items()))
     if key not in _encodings:
-        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=added)
     return _encodings[key]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file adds to its vocabulary: a text that spells one holds its id there."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    odd = [t["content"] for t in found if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"added tokens with rules of their own are not supported: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 def cut(n: int, size: int) -> list[int]:
     """Piece lengths of a document of n ids: full pieces, then the rest."""
     return [size] * (n // size) + ([n % size] if n % size else [])
 
 
-def pieces(df: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document: its ids, then ``end_id``, cut into ``size`` ids and a rest.
+def pieces(df: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+           added: dict[str, int] | None = None) -> DataFrame:
+    """Pieces of every document: its ids, then ``end_id``, cut into ``size`` ids and a rest. Texts are split at ``added`` tokens
+    first, as the tokenizer does that has them.
 
     Columns: id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens.
     Null texts are empty: one piece holding ``end_id`` alone. Rows are kept as they come, copies too.
     """
+    added = added or {}
+
     def make():
-        enc = _encoding(path, pattern)
+        enc = _encoding(path, pattern, added)
 
         def run(batches):
             for b in batches:
@@ -48,7 +63,7 @@ def pieces(df: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int
                     part = b.slice(lo, 256)
                     rows: tuple[list, ...] = ([], [], [], [], [])
                     for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        ids = enc.encode_ordinary(text) if text else []
+                        ids = enc.encode(text, allowed_special="all") if text else []
                         ids.append(end_id)
                         raw = memoryview(np.array(ids, dtype="<u4")).cast("B")
                         start = 0
@@ -132,14 +147,15 @@ def rank_in_length(found: DataFrame, id_col: str, total: int) -> DataFrame:
     return numbered.join(shift, ["length", "_bucket"]).withColumn("_rank", F.col("_rn") - 1 + F.col("_shift")).drop("_rn", "_shift", "_bucket")
 
 
-def pack(df: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+         added: dict[str, int] | None = None) -> DataFrame:
     """Pack the documents of ``df``: one row per piece with sequence_id and offset.
 
     Full pieces are sequences of their own; rests are packed by ``shortest_pack_first``. Copies of a row are
     packed each. An empty table gives no rows. Null ids, null and empty texts are packed like others.
     """
     spark = df.sparkSession
-    found = materialize(pieces(df, path, pattern, size, end_id, id_col, text_col), "pieces")
+    found = materialize(pieces(df, path, pattern, size, end_id, id_col, text_col, added), "pieces")
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     patterns = shortest_pack_first(histogram, size)
     table = spark.createDataFrame(slots(patterns), "length bigint, _first bigint, _many bigint, _copies bigint, _sequence bigint, _offset bigint")

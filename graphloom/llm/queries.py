@@ -71,7 +71,8 @@ def op9_preference_format(spark, sf_dir):
 @query
 def op5_pack_sequences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 @query

@@ -53,3 +53,13 @@ def test_duplicate_stage_keeps_one_row_an_id(spark):
     got = sorted(str(r.doc_id) for r in C.near_duplicates(spark, docs, SF).collect())
     assert got == ["1", "3", "4", "None"]
     assert C.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_duplicate_stage_keeps_every_text_of_an_id(spark):
+    """Ids that hold several texts: copies go, unlinked texts stay, with null and empty ones."""
+    rows = [(5, "x y z u v w q"), (6, "x y z u v w q"), (6, "a text of its own that nothing else holds"), (1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"),
+            (7, "One two three four five six"), (8, ""), (8, "  "), (8, None), (9, "zz yy xx ww vv uu"), (9, "ZZ yy xx ww vv uu"), (None, "x y z u v w q"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, docs, SF).collect()), key=str)
+    want = [(5, rows[0][1]), rows[2], rows[3], rows[4], (8, None), (9, "ZZ yy xx ww vv uu"), (None, rows[0][1]), (None, None)]
+    assert got == sorted(want, key=str)

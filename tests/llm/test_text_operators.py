@@ -104,9 +104,10 @@ def test_shortest_pack_first():
 def test_pack(spark, texts, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 7)
     tok = __import__("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    rows = EDGES + [(100 + i, t) for i, t in enumerate(texts[:80])] + [(500, "a <|endoftext|> b")]
-    out = packing.pack(frame(spark, rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).toPandas()
+    added = packing.added_tokens(P.path("byte_bpe_50k.json"))
+    rows = EDGES + [(100 + i, t) for i, t in enumerate(texts[:80])] + [(500, "a <|endoftext|> b"), (501, "<|endoftext|>" * 3 + "c<|endoftext|")]
+    out = packing.pack(frame(spark, rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added=added).toPandas()
+    assert out[out.doc_id == 501].doc_tokens.tolist() == [3 + len(tok.encode("c<|endoftext|", add_special_tokens=False).ids) + 1]
     ids = {k: tok.encode(t or "", add_special_tokens=False).ids + [0] for k, t in rows}
     assert out.length.sum() == sum(len(ids[k]) for k, _ in rows)
     for r in out[out.doc_id.notna()].itertuples():
