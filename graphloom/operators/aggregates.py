@@ -140,14 +140,16 @@ def graph_digest(g: Graph, max_chars: int | None = None) -> DataFrame:
     return lines.agg((text if max_chars is None else F.substring(text, 1, max_chars)).alias("digest"))
 
 
-def graph_stats(g: Graph) -> DataFrame:
-    """One row: entities, relations, logs, version, inferred relations and indexed vectors."""
+def graph_stats(g: Graph, ontology=None) -> DataFrame:
+    """One row: entities, relations, logs, version, relations that the rules infer, and indexed vectors."""
+    from graphloom.operators.infer import DEFAULT_ONTOLOGY, infer_all
+
     one = F.lit(1).alias("one")
-    inferred = g.relations.agg(F.count_if(F.col("confidence") == S.GUESSED_CONFIDENCE).alias("inferred_relations"))
+    inferred = infer_all(g, ontology or DEFAULT_ONTOLOGY).agg(F.count(F.lit(1)).alias("inferred_relations"))
     vectors = g.vectors.agg(F.count(F.lit(1)).alias("indexed_vectors"))
     out = graph_counts(g).select("*", one)
     for part in (graph_version(g.op_logs), inferred, vectors):
-        out = out.join(part.select("*", one), "one")
+        out = out.join(part.select("*", one), "one")  # one row each
     return out.drop("one")
 
 

@@ -60,6 +60,25 @@ def union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def first_level(seeds: DataFrame, keys) -> DataFrame:
+    from graphloom.session import materialize
+
+    none = F.lit(None).cast("long")
+    return materialize(seeds.select(*keys, "node").distinct().withColumn("next_rel", none).withColumn("next_node", none), "level")
+
+
+def next_level(adj: Adjacency, levels: list[DataFrame], keys, front: DataFrame, directed=False) -> tuple[DataFrame, int]:
+    """The level behind ``front`` (rows of the last level still worth expanding), and its number of rows."""
+    from graphloom.session import materialize
+
+    step = adj.expand(front.select(*keys, "node")).groupBy(*keys, F.col("dst").alias("_to")).agg(
+        F.min("rel_id").alias("next_rel"), F.min_by("node", "rel_id").alias("next_node")
+    ).withColumnRenamed("_to", "node")
+    old = union([lv.select(*keys, "node") for lv in (levels if directed else levels[-2:])])
+    step = step.join(old, [*keys, "node"], "left_anti").select(*keys, "node", "next_rel", "next_node")
+    return materialize(step, "level", counted=True)
+
+
 def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, directed=False, keep=None) -> list[DataFrame]:
     """Breadth-first levels per key: tables (keys, node, next_rel, next_node), one per depth.
 
@@ -68,11 +87,7 @@ def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, directed
     Undirected search needs only the last two levels to tell new nodes from old ones.
     ``keep(levels)`` may return the keys still worth expanding, or None to stop.
     """
-    from graphloom.session import materialize
-
-    none = F.lit(None).cast("long")
-    first = seeds.select(*keys, "node").distinct().withColumn("next_rel", none).withColumn("next_node", none)
-    levels = [materialize(first, "level")]
+    levels = [first_level(seeds, keys)]
     while max_depth is None or len(levels) <= max_depth:
         front = levels[-1].select(*keys, "node")
         if keep is not None:
@@ -80,12 +95,7 @@ def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, directed
             if live is None:
                 break
             front = front.join(live, keys, "left_semi")
-        step = adj.expand(front).groupBy(*keys, F.col("dst").alias("_to")).agg(
-            F.min("rel_id").alias("next_rel"), F.min_by("node", "rel_id").alias("next_node")
-        ).withColumnRenamed("_to", "node")
-        old = union([lv.select(*keys, "node") for lv in (levels if directed else levels[-2:])])
-        step = step.join(old, [*keys, "node"], "left_anti").select(*keys, "node", "next_rel", "next_node")
-        step, rows = materialize(step, "level", counted=True)
+        step, rows = next_level(adj, levels, keys, front, directed)
         if rows == 0:
             break
         levels.append(step)

@@ -12,14 +12,14 @@ from graphloom.functions.vectors import cosine
 from graphloom.graph import Graph
 from graphloom.operators.aggregates import incident_counts
 from graphloom.operators.match import incident
-from graphloom.session import at_least, fixed_now, materialize, ship_package, with_position
+from graphloom.session import at_least, broadcast_bounded, fixed_now, materialize, ship_package, with_position
 
 RRF_K = 60
 SEARCH_MIN = 0.15
 SIMILAR_MIN = 0.1
 PACK_ROWS = 2048
-INLINE_TERMS = 64
-TERM_BLOCK = 100_000
+GRAMS = (1, 2, 4, 8, 16)  # lengths of grams by which terms are filed
+GRAM_PIECE = 200
 EMBED_BATCH = 32
 
 
@@ -30,47 +30,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("times"))
 
 
+def _gram_length(text):
+    """Length of the grams by which a term is looked for: the longest of GRAMS that it has room for."""
+    fits = [F.when(F.length(text) >= g, F.lit(g)) for g in sorted(GRAMS, reverse=True)]
+    return F.coalesce(*fits)
+
+
+def _grams(rows: DataFrame, column: str, lengths: list[int], *keep: str) -> DataFrame:
+    """(keep, gram): the distinct grams of every row. Long texts are cut into overlapping pieces first, since reaching a place in
+    a text takes longer the later it comes."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1)), F.lit(GRAM_PIECE))
+    pieces = rows.where(F.length(column) > 0).select(*keep, F.explode(F.transform(starts, lambda i: F.substring(column, i, F.lit(GRAM_PIECE + max(lengths) - 1)))).alias("_p"))
+    places = lambda g: F.when(F.length("_p") >= g, F.transform(F.sequence(F.lit(1), F.length("_p") - g + 1), lambda i: F.substring("_p", i, F.lit(g))))
+    none = F.array().cast("array<string>")
+    found = F.array_distinct(F.concat(*[F.coalesce(places(g), none) for g in lengths]))
+    return pieces.select(*keep, F.explode(found).alias("gram")).distinct()
+
+
 def contained_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     """Rows of ``texts`` times the distinct ``term`` values found inside ``column``.
 
-    Few terms are tested as one array inside the scan. Many are looked for by an automaton per block of
-    terms, one pass over the texts for each block, so texts and terms are never paired.
+    A gram index: texts post the grams that some term has, and every term is filed under the one of its grams that fewest texts
+    hold, so it meets only these; ``contains`` then decides. The same joins serve three terms and many millions; Spark splits
+    the rows of a gram that very many texts hold. A term with a gram that no text holds meets none. Null and empty terms are
+    found nowhere.
     """
-    terms = terms.select("term").distinct()
-    few = [r["term"] for r in terms.limit(INLINE_TERMS + 1).collect()]
-    if len(few) <= INLINE_TERMS:
-        if not few:
-            return texts.withColumn("term", F.lit(None).cast("string")).where(F.lit(False))
-        wanted = F.array(*[F.lit(t) for t in sorted(few)])
-        return texts.withColumn("term", F.explode(F.filter(wanted, lambda t: F.contains(F.col(column), t))))
-    blocks = with_position(terms, "term").withColumn("block", F.floor(F.col("pos") / TERM_BLOCK))
-    blocks = materialize(blocks.select("block", "term"), "terms")
-    count = blocks.agg(F.max("block")).first()[0] + 1
-    out = None
-    for b in range(count):
-        words = [r["term"] for r in blocks.where(F.col("block") == b).select("term").collect()]  # at most TERM_BLOCK
-        part = _automaton_pass(texts, column, words)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _automaton_pass(texts: DataFrame, column: str, words: list[str]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-    schema = texts.withColumn("term", F.lit("")).schema
-
-    def find(batches):
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for w in shared.value:
-            machine.add_word(w, w)
-        machine.make_automaton()
-        for pdf in batches:
-            hits = [sorted({w for _, w in machine.iter(t)}) if t else [] for t in pdf[column]]
-            yield pdf.assign(term=hits).explode("term").dropna(subset=["term"])
-
-    ship_package(texts.sparkSession)
-    return texts.mapInPandas(find, schema)
+    own = materialize(terms.select("term").where("term <> ''").distinct().withColumn("_g", _gram_length(F.col("term"))), "terms")
+    lengths = sorted(r["_g"] for r in own.select("_g").distinct().collect())  # at most len(GRAMS)
+    if not lengths:
+        return texts.withColumn("term", F.lit(None).cast("string")).where(F.lit(False))
+    places = F.transform(F.sequence(F.lit(1), F.length("term") - F.col("_g") + 1), lambda i: F.substring("term", i, F.col("_g")))
+    filed = materialize(own.select("term", F.explode(F.array_distinct(places)).alias("gram")), "grams")
+    rows = materialize(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    posted = _grams(rows, column, lengths, "_row").join(broadcast_bounded(filed.select("gram").distinct()), "gram", "left_semi")
+    posted = materialize(posted.select("gram", "_row"), "posted")
+    held = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = filed.join(held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_b"))
+    best = best.where("_b.n > 0").select("term", F.col("_b.gram").alias("gram"))
+    met = posted.join(best, "gram").select("_row", "term")
+    return rows.join(met, "_row").where(F.contains(F.col(column), F.col("term"))).select(*texts.columns, "term")
 
 
 def term_scores(g: Graph, terms: DataFrame, with_aliases: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, undirected_edges
-from graphloom.operators.frontier import HUB_ROWS, build_adjacency, levels_from, union, with_level
+from graphloom.operators.frontier import HUB_ROWS, build_adjacency, first_level, levels_from, next_level, union, with_level
 from graphloom.session import at_least, materialize
 
 LONGS = "array<bigint>"
@@ -32,52 +32,69 @@ def ego(g: Graph, centers: DataFrame, depth: int | None = None):
     return nodes, g.relations.join(s, "source_id").join(t, ["center", "target_id"], "left_semi")
 
 
-def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 6, hub_rows: int = HUB_ROWS) -> DataFrame:
+def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 6, hub_rows: int = HUB_ROWS, rows_seen: list | None = None) -> DataFrame:
     """(source_id, target_id, found, hops, path, nodes) per pair; ``path`` holds relation ids in order.
 
-    Among shortest paths the smallest relation-id sequence wins. Pairs with the same target share one
-    search from the target, and a target stops once all its sources are reached.
+    Among shortest paths the smallest relation-id sequence wins. Every distinct source and every distinct target searches on its
+    own, one level of all sources or of all targets at a time, whichever frontier is smaller; a pair is done when a node of the
+    last levels of both ends is the same. ``rows_seen`` gets the number of rows of every level grown.
     """
     pairs = materialize(pairs.select("source_id", "target_id").distinct(), "pairs")
-    other = pairs.where("source_id <> target_id")
+    open_pairs, n_open = materialize(pairs.where("source_id <> target_id"), "open", counted=True)
     adj = build_adjacency(undirected_edges(g.relations), hub_rows)
-    found = []
-    open_pairs = [other]
-
-    def keep(levels):
-        hit = open_pairs[0].join(
-            levels[-1].select(F.col("key").alias("target_id"), F.col("node").alias("source_id")), ["source_id", "target_id"], "left_semi")
-        if len(levels) > 1:
-            found.append(materialize(hit, "found"))
-            rest, n = materialize(open_pairs[0].join(found[-1], ["source_id", "target_id"], "left_anti"), "open", counted=True)
-            open_pairs[0] = rest
-            if n == 0:
-                return None
-        return open_pairs[0].select(F.col("target_id").alias("key")).distinct()
-
-    seeds = other.select(F.col("target_id").alias("key"), F.col("target_id").alias("node"))
-    levels = levels_from(adj, seeds, ["key"], max_hops, keep=keep)
-    if len(levels) > 1 and len(found) < len(levels) - 1:
-        keep(levels)
+    ends = ["source_id", "target_id"]
+    sides = {c: [first_level(open_pairs.select(F.col(c).alias("key"), F.col(c).alias("node")), ["key"])] for c in ends}
+    met: list[tuple[int, int, DataFrame]] = []
+    while n_open and sum(len(s) - 1 for s in sides.values()) < max_hops:
+        fronts = {c: materialize(s[-1].select("key", "node").join(open_pairs.select(F.col(c).alias("key")).distinct(), "key", "left_semi"), "front", counted=True) for c, s in sides.items()}
+        side = min(ends, key=lambda c: (fronts[c][1], c == "source_id"))  # of equal ones the targets, whose links lead back by themselves
+        level, rows = next_level(adj, sides[side], ["key"], fronts[side][0])
+        sides[side].append(level)
+        if rows_seen is not None:
+            rows_seen.append(rows)
+        if rows == 0:
+            break  # no open pair is connected
+        hit = materialize(_meetings(open_pairs, sides), "met")
+        met.append((len(sides["source_id"]) - 1, len(sides["target_id"]) - 1, hit))
+        open_pairs, n_open = materialize(open_pairs.join(hit.select(*ends).distinct(), ends, "left_anti"), "open", counted=True)
     empty = F.array().cast(LONGS)
-    done = []
-    walk = None
-    for hops in range(len(levels) - 1, 0, -1):
-        start = found[hops - 1].select(
-            "source_id", "target_id", F.col("source_id").alias("node"), empty.alias("path"), F.array("source_id").alias("nodes"))
-        walk = start if walk is None else walk.unionByName(start)
-        step = levels[hops].select(F.col("key").alias("target_id"), "node", "next_rel", "next_node")
-        walk = walk.join(step, ["target_id", "node"]).select(
-            "source_id", "target_id", F.col("next_node").alias("node"),
-            F.concat("path", F.array("next_rel")).alias("path"), F.concat("nodes", F.array("next_node")).alias("nodes"))
-    if walk is not None:
-        done.append(walk.drop("node"))
+    done = [_smallest(adj, sides, *m) for m in met]
     self_pairs = pairs.where("source_id = target_id").join(
         g.entities.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    done.append(self_pairs.select("source_id", "target_id", empty.alias("path"), F.array("source_id").alias("nodes")))
-    return pairs.join(union(done), ["source_id", "target_id"], "left").select(
-        "source_id", "target_id", F.col("path").isNotNull().alias("found"), F.size("path").alias("n"), "path", "nodes",
-    ).select("source_id", "target_id", "found", F.when(F.col("found"), F.col("n")).alias("hops"), "path", "nodes")
+    done.append(self_pairs.select(*ends, empty.alias("path"), F.array("source_id").alias("nodes")))
+    return pairs.join(union(done), ends, "left").select(
+        *ends, F.col("path").isNotNull().alias("found"), F.when(F.col("path").isNotNull(), F.size("path")).alias("hops"), "path", "nodes")
+
+
+def _meetings(open_pairs: DataFrame, sides: dict) -> DataFrame:
+    """(source_id, target_id, node): nodes that the last levels of both ends of an open pair share."""
+    last = {c: s[-1].select(F.col("key").alias(c), "node") for c, s in sides.items()}
+    return open_pairs.join(last["source_id"], "source_id").join(last["target_id"], ["target_id", "node"], "left_semi").select("source_id", "target_id", "node")
+
+
+def _smallest(adj, sides: dict, ahead: int, behind: int, met: DataFrame) -> DataFrame:
+    """(source_id, target_id, path, nodes) of the pairs that meet ``ahead`` levels from their source and ``behind`` from their target.
+
+    Edges between the source and a meeting node are collected level by level from there; from the source, the smallest of them
+    is taken at every step. Behind the meeting node the levels of the target tell the way.
+    """
+    key = ["source_id", "target_id"]
+    links, now = [], met
+    for depth in range(ahead, 0, -1):
+        before = sides["source_id"][depth - 1].select(F.col("key").alias("source_id"), F.col("node").alias("dst"))
+        step = adj.expand(now.select(*key, "node")).join(before, ["source_id", "dst"])
+        links.append(materialize(step.select(*key, F.col("dst").alias("node"), "rel_id", F.col("node").alias("to")), "links"))
+        now = links[-1].select(*key, "node").distinct()
+    walk = met.select(*key).distinct().select(*key, F.col("source_id").alias("node"), F.array().cast(LONGS).alias("path"), F.array("source_id").alias("nodes"))
+    for step in reversed(links):
+        best = step.groupBy(*key, "node").agg(F.min(F.struct("rel_id", "to")).alias("m"))
+        walk = walk.join(best, [*key, "node"]).select(
+            *key, F.col("m.to").alias("node"), F.concat("path", F.array("m.rel_id")).alias("path"), F.concat("nodes", F.array("m.to")).alias("nodes"))
+    for depth in range(behind, 0, -1):
+        step = sides["target_id"][depth].select(F.col("key").alias("target_id"), "node", "next_rel", "next_node")
+        walk = walk.join(step, ["target_id", "node"]).select(
+            *key, F.col("next_node").alias("node"), F.concat("path", F.array("next_rel")).alias("path"), F.concat("nodes", F.array("next_node")).alias("nodes"))
+    return walk.drop("node")
 
 
 def all_paths(g: Graph, pairs: DataFrame, max_hops: int = 4, limit: int = 5, hub_rows: int = HUB_ROWS) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import aggregates as A
 from graphloom.operators import infer as I
 from graphloom.operators import traverse as T
-from graphloom.plans.base_sql import ADJ, EDG, ENT, REL, sql
+from graphloom.plans.base_sql import ADJ, EDG, ENT, LOG, REL, VEC, sql
 from graphloom.plans.basic import ids_of
 from graphloom.plans.registry import ORACLES, query, store
 from graphloom.sources.derived import KIND, NATION, REGION, SUPPLIER, table
@@ -231,3 +232,13 @@ def inferred_entities(spark, sf_dir):
 
 ORACLES["inferred_entities"] = sql(ENT, REL, _TRANS, _SYM, _INV, _ALL, body="""
 SELECT source_id AS id FROM x UNION SELECT target_id FROM x""")
+
+
+@query
+def graph_stats(spark, sf_dir):
+    return A.graph_stats(store(spark, sf_dir))
+
+
+ORACLES["graph_stats"] = sql(ENT, REL, LOG, VEC, _TRANS, _SYM, _INV, _ALL, body="""
+SELECT (SELECT count(*) FROM ent)::BIGINT AS entities, (SELECT count(*) FROM rel)::BIGINT AS relations, (SELECT count(*) FROM log)::BIGINT AS logs,
+  (SELECT max(id) FROM log) AS version, (SELECT count(*) FROM named)::BIGINT AS inferred_relations, (SELECT count(*) FROM vec)::BIGINT AS indexed_vectors""")

@@ -118,6 +118,60 @@ def test_paths_match_a_plain_model(spark, make, seed, hub):
         assert got[s, t] == enumerate_paths(adj, s, t, 4, 5), (s, t)
 
 
+@pytest.mark.parametrize("seed,hub", [(3, 10**6), (4, 2)])
+def test_shortest_paths_from_both_ends(spark, make, seed, hub):
+    """Parallel links, several shortest ways and far ends: the smallest relation-id sequence, with fewer rows than one search."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(60)]
+    edges = [(names[i], "r", names[i + 1]) for i in range(11)]  # a line of its own
+    edges += [(names[rng.randrange(12, 60)], "r", names[rng.randrange(12, 60)]) for _ in range(110)]
+    rng.shuffle(edges)
+    edges += edges[:15]
+    g = make(names, edges)
+    ids = {n: i + 1 for i, n in enumerate(names)}
+    links = defaultdict(list)
+    for i, (a, _, b) in enumerate(edges):
+        if a != b:
+            links[ids[a]].append((i + 1, ids[b]))
+            links[ids[b]].append((i + 1, ids[a]))
+
+    def best(s, t, limit):
+        paths = {s: []}
+        seen = {s}
+        for _ in range(limit):
+            new = {}
+            for v, p in paths.items():
+                for rel, w in links[v]:
+                    if w not in seen and (w not in new or p + [rel] < new[w]):
+                        new[w] = p + [rel]
+            if t in new:
+                return new[t]
+            seen |= set(new)
+            paths = new
+        return None
+
+    want = [(1, 12), (12, 1), (1, 30), (5, 5), (3, 9)] + [(rng.randrange(13, 61), rng.randrange(13, 61)) for _ in range(25)]
+    got = {(r.source_id, r.target_id): r for r in T.shortest_paths(g, pairs(spark, want), 12, hub_rows=hub).collect()}
+    for s, t in want:
+        path = [] if s == t else best(s, t, 12)
+        assert (list(got[s, t].path) if got[s, t].found else None) == path, (s, t)
+        if path:
+            at = s
+            for rel, node in zip(path, list(got[s, t].nodes)[1:]):
+                assert (rel, node) in links[at]
+                at = node
+            assert at == t and got[s, t].hops == len(path)
+    from graphloom.graph import undirected_edges
+    from graphloom.operators.frontier import build_adjacency, levels_from
+
+    seen: list = []
+    far = max(((s, t) for s, t in want if s > 12 and t > 12 and s != t), key=lambda p: len(best(*p, 12) or []))
+    hops = len(best(*far, 12))
+    T.shortest_paths(g, pairs(spark, [far]), 12, rows_seen=seen)
+    one = levels_from(build_adjacency(undirected_edges(g.relations)), pairs(spark, [far]).selectExpr("target_id AS key", "target_id AS node"), ["key"], hops)
+    assert hops >= 3 and sum(seen) < sum(lv.count() for lv in one[1:])
+
+
 def test_transitive_closure_matches_a_plain_model(spark, make):
     rng = random.Random(5)
     names, edges = graph_of(rng, 10, 14)

@@ -1,6 +1,7 @@
 """Arguments mean what they say; versions and streamed batches keep what they are given."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -79,6 +80,29 @@ def test_graph_stats(spark, make):
     g = make(["A", "B"], [("A", "r", "B")])
     row = A.graph_stats(g).first()
     assert (row.entities, row.relations, row.version, row.inferred_relations, row.indexed_vectors) == (2, 1, 0, 0, 0)
+    # three relations are stored, none of them guessed; the rules find A-位于->C, B-挚友->A and C-学生为->A
+    g = make(["A", "B", "C"], [("A", "位于", "B"), ("B", "位于", "C"), ("A", "挚友", "B"), ("A", "师从", "C")])
+    row = A.graph_stats(g).first()
+    assert (row.entities, row.relations, row.inferred_relations) == (3, 4, 3)
+
+
+@pytest.mark.parametrize("many", [3, 300])
+def test_terms_by_gram_index(spark, many):
+    """Few and many terms take one path: every length, repeated letters, characters of all sizes, long texts, nulls."""
+    random.seed(many)
+    letters = "ab漢é🎉 "
+    texts = [(i, "".join(random.choices(letters, k=random.randint(0, 60)))) for i in range(80)]
+    texts += [(100, None), (101, ""), (102, "ab" * 900 + "漢字漢字漢字漢字漢字end" + "é" * 700), (102, "ab"), (103, "abab" * 5)]
+    long = texts[82][1]
+    terms = {"a", "漢", long[195:215], long[1790:1830], "never there", "zzz", "ab" * 8, "x" * 40, ""} if many == 3 else set()
+    terms |= {"".join(random.choices(letters, k=random.randint(1, 6))) for _ in range(many)}
+    terms |= {t[i:i + random.randint(1, 20)] for _, t in texts[:40] if t for i in [random.randrange(len(t))]}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "id long, t string, gram string").repartition(3)
+    asked = spark.createDataFrame([*((t,) for t in terms for _ in (0, 1)), (None,)], "term string")
+    got = sorted((r.id, r.t, r.term) for r in Q.contained_terms(df, "t", asked).collect())
+    assert got == sorted((i, t, x) for i, t in texts if t for x in terms if x and x in t)
+    assert Q.contained_terms(df, "t", asked.where("false")).count() == 0
+    assert Q.contained_terms(df.where("false"), "t", asked).count() == 0
 
 
 def test_refused_documents_are_listed(spark, tmp_path):
