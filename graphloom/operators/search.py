@@ -37,14 +37,14 @@ def _gram_length(text):
 
 
 def _grams(rows: DataFrame, column: str, lengths: list[int], *keep: str) -> DataFrame:
-    """(keep, gram): the distinct grams of every row. Long texts are cut into overlapping pieces first, since reaching a place in
-    a text takes longer the later it comes."""
+    """(keep, gram): the grams of every row, once a piece. Long texts are cut into overlapping pieces, since reaching a place in a
+    text takes longer the later it comes."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1)), F.lit(GRAM_PIECE))
     pieces = rows.where(F.length(column) > 0).select(*keep, F.explode(F.transform(starts, lambda i: F.substring(column, i, F.lit(GRAM_PIECE + max(lengths) - 1)))).alias("_p"))
     places = lambda g: F.when(F.length("_p") >= g, F.transform(F.sequence(F.lit(1), F.length("_p") - g + 1), lambda i: F.substring("_p", i, F.lit(g))))
     none = F.array().cast("array<string>")
     found = F.array_distinct(F.concat(*[F.coalesce(places(g), none) for g in lengths]))
-    return pieces.select(*keep, F.explode(found).alias("gram")).distinct()
+    return pieces.select(*keep, F.explode(found).alias("gram"))
 
 
 def contained_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def contained_terms(texts: DataFrame, column: str, terms: DataFrame) -> DataFram
     filed = materialize(own.select("term", F.explode(F.array_distinct(places)).alias("gram")), "grams")
     rows = materialize(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
     posted = _grams(rows, column, lengths, "_row").join(broadcast_bounded(filed.select("gram").distinct()), "gram", "left_semi")
-    posted = materialize(posted.select("gram", "_row"), "posted")
+    posted = materialize(posted.select("gram", "_row").distinct(), "posted")
     held = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     best = filed.join(held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_b"))
     best = best.where("_b.n > 0").select("term", F.col("_b.gram").alias("gram"))

@@ -44,19 +44,21 @@ def shortest_paths(g: Graph, pairs: DataFrame, max_hops: int = 6, hub_rows: int
     adj = build_adjacency(undirected_edges(g.relations), hub_rows)
     ends = ["source_id", "target_id"]
     sides = {c: [first_level(open_pairs.select(F.col(c).alias("key"), F.col(c).alias("node")), ["key"])] for c in ends}
+    size = {c: s[0].count() for c, s in sides.items()}
     met: list[tuple[int, int, DataFrame]] = []
     while n_open and sum(len(s) - 1 for s in sides.values()) < max_hops:
-        fronts = {c: materialize(s[-1].select("key", "node").join(open_pairs.select(F.col(c).alias("key")).distinct(), "key", "left_semi"), "front", counted=True) for c, s in sides.items()}
-        side = min(ends, key=lambda c: (fronts[c][1], c == "source_id"))  # of equal ones the targets, whose links lead back by themselves
-        level, rows = next_level(adj, sides[side], ["key"], fronts[side][0])
+        side = min(ends, key=lambda c: (size[c], c == "source_id"))  # of equal ones the targets, whose links lead back by themselves
+        live = sides[side][-1].join(open_pairs.select(F.col(side).alias("key")).distinct(), "key", "left_semi")
+        level, size[side] = next_level(adj, sides[side], ["key"], live)
         sides[side].append(level)
         if rows_seen is not None:
-            rows_seen.append(rows)
-        if rows == 0:
+            rows_seen.append(size[side])
+        if size[side] == 0:
             break  # no open pair is connected
-        hit = materialize(_meetings(open_pairs, sides), "met")
-        met.append((len(sides["source_id"]) - 1, len(sides["target_id"]) - 1, hit))
-        open_pairs, n_open = materialize(open_pairs.join(hit.select(*ends).distinct(), ends, "left_anti"), "open", counted=True)
+        hit, hits = materialize(_meetings(open_pairs, sides), "met", counted=True)
+        if hits:
+            met.append((len(sides["source_id"]) - 1, len(sides["target_id"]) - 1, hit))
+            open_pairs, n_open = materialize(open_pairs.join(hit.select(*ends).distinct(), ends, "left_anti"), "open", counted=True)
     empty = F.array().cast(LONGS)
     done = [_smallest(adj, sides, *m) for m in met]
     self_pairs = pairs.where("source_id = target_id").join(
@@ -81,9 +83,9 @@ def _smallest(adj, sides: dict, ahead: int, behind: int, met: DataFrame) -> Data
     key = ["source_id", "target_id"]
     links, now = [], met
     for depth in range(ahead, 0, -1):
-        before = sides["source_id"][depth - 1].select(F.col("key").alias("source_id"), F.col("node").alias("dst"))
-        step = adj.expand(now.select(*key, "node")).join(before, ["source_id", "dst"])
-        links.append(materialize(step.select(*key, F.col("dst").alias("node"), "rel_id", F.col("node").alias("to")), "links"))
+        before = sides["source_id"][depth - 1].select(F.col("key").alias("source_id"), "node").join(now.select("source_id").distinct(), "source_id", "left_semi")
+        step = adj.expand(before).join(now.select(*key, F.col("node").alias("dst")), ["source_id", "dst"])
+        links.append(materialize(step.select(*key, "node", "rel_id", F.col("dst").alias("to")), "links"))
         now = links[-1].select(*key, "node").distinct()
     walk = met.select(*key).distinct().select(*key, F.col("source_id").alias("node"), F.array().cast(LONGS).alias("path"), F.array("source_id").alias("nodes"))
     for step in reversed(links):
