@@ -69,12 +69,19 @@ def materialize(df: DataFrame, tag: str = "t", counted: bool = False):
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    if not counted:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return (out, int(seen.get["n"])) if counted else out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables that ``materialize`` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
