@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Hashes, map_batches, materialize, mix, only, words
 from graphloom.llm.components import components
+from graphloom.session import discard
 
 WORDS = 5  # words in an n-gram
 SIMILARITY = (80, 100)  # at least 80 of 100
@@ -381,6 +382,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     used = shared.groupBy("c").agg(F.count(F.lit(1)).alias("_used"))
     facts = posted.select("c", "k", "ends").join(used, "c").join(classes, "k").select("c", "set_key", "n", (size - F.col("_used")).alias("own"), "ends")
     facts = materialize(facts, "facts")
+    discard(found)  # the prefixes, the largest of the tables here
     # the most typical class of a token has the smallest share of tokens of its own
     typical = facts.select("c", F.struct((-F.col("own") / F.col("n")).alias("t"), "c").alias("t"))
     leads = shared.join(typical, "c").groupBy("token").agg(F.max("t")["c"].alias("o_c"))
@@ -420,7 +422,9 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     more = named(met_pairs(rest, F.col("group") != F.col("o_group")))
     done = first.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     more = more.select("leader", "member").join(done, ["leader", "member"], "left_anti")
-    return docs, classes, links.union(materialize(verify(more, texts, n), "links"))
+    links = links.union(materialize(verify(more, texts, n), "links"))
+    discard(texts, shared, judged, facts)
+    return docs, classes, links
 
 
 def join_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, keys: bool = False) -> DataFrame:
