@@ -1,5 +1,7 @@
 """Edge patterns, key resolution, pages, counts, logs."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import aggregates as A
@@ -411,3 +413,49 @@ def alias_owners(spark, sf_dir):
 
 
 ORACLES["alias_owners"] = sql(ENT, ALI, body=" SELECT entity_id, alias, name, category FROM ali JOIN ent ON ent.id = entity_id")
+
+
+def many_aliases(spark, sf_dir):
+    """The store with two aliases for every customer and supplier, one of them shared by a customer and a supplier of one key."""
+    named = lambda name, key, kind, own: table(spark, sf_dir, name).select(
+        F.col(key).cast("long").alias("key"), (F.lit(kind * KIND) + F.col(key).cast("long")).alias("entity_id"), F.lit(own).alias("own"))
+    both = named("customer", "c_custkey", CUSTOMER, "客户").unionByName(named("supplier", "s_suppkey", SUPPLIER, "供应商"))
+    rows = both.select("entity_id", F.explode(F.array(F.concat("own", F.col("key").cast("string")), F.concat(F.lit("No."), F.col("key").cast("string")))).alias("alias"))
+    rows = rows.select((F.col("entity_id") * 2 + F.col("alias").startswith("No.").cast("int")).alias("id"), "entity_id", "alias", F.current_timestamp().alias("created_at"))
+    return replace(store(spark, sf_dir), aliases=rows)
+
+
+_MANY = """own AS (SELECT c_custkey AS k, 7000000000 + c_custkey AS entity_id, '客户' AS own FROM customer
+  UNION ALL SELECT s_suppkey, 5000000000 + s_suppkey, '供应商' FROM supplier),
+many AS (SELECT entity_id::BIGINT AS entity_id, own || k::VARCHAR AS alias FROM own UNION ALL SELECT entity_id, 'No.' || k::VARCHAR FROM own)"""
+
+
+@query
+def alias_map_many(spark, sf_dir):
+    return A.alias_map(many_aliases(spark, sf_dir).aliases).select("entity_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+# in the order of the alias ids: the own name, then the shared one
+ORACLES["alias_map_many"] = sql(_MANY, body=" SELECT entity_id, string_agg(alias, '|' ORDER BY starts_with(alias, 'No.')) AS aliases FROM many GROUP BY entity_id")
+
+
+@query
+def alias_owners_many(spark, sf_dir):
+    return M.alias_owner(many_aliases(spark, sf_dir))
+
+
+ORACLES["alias_owners_many"] = sql(ENT, _MANY, body=" SELECT m.entity_id, alias, name, category FROM many m JOIN ent ON ent.id = m.entity_id")
+
+
+@query
+def resolve_keys_many(spark, sf_dir):
+    """Every alias of every customer as a key: its own leads to one entity, the shared one to one or two."""
+    g = many_aliases(spark, sf_dir)
+    keys = g.aliases.where(F.col("entity_id") >= CUSTOMER * KIND).select(F.col("alias").alias("key"))
+    return M.resolve_keys(g, keys, "cli").select("key", "status", "id")
+
+
+ORACLES["resolve_keys_many"] = sql(_MANY, body=""",
+n AS (SELECT alias, count(DISTINCT entity_id) AS n, min(entity_id) AS id FROM many GROUP BY alias)
+SELECT alias AS key, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS id
+FROM n WHERE alias IN (SELECT alias FROM many WHERE entity_id >= 7000000000)""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import recommend as R
 from graphloom.operators import search as Q
+from graphloom.operators.ingest import judge_prompts
 from graphloom.plans.base_sql import ADJ, ALI, ENT, REL, VEC, sql
 from graphloom.plans.basic import ids_of
 from graphloom.plans.registry import ORACLES, query, store
@@ -341,3 +342,17 @@ q AS (SELECT n_nationkey::BIGINT AS qid, 'How is ' || n_name || ' linked to ' ||
 h AS (SELECT qid, id, name, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM q JOIN ent ON length(name) >= 2 AND contains(text, name))
 SELECT qid, id, name, rank::INTEGER AS rank FROM h WHERE rank <= 10""")
 
+
+@query
+def judge_prompt_texts(spark, sf_dir):
+    """The whole prompt of every recommended pair of a nation."""
+    g = store(spark, sf_dir)
+    pairs = R.recommend_for(g, ids_of(spark, sf_dir, "nation", "n_nationkey", NATION), hub_degree=R.HUB_DEGREE)
+    return judge_prompts(g, pairs, "J").select("center", "rank", "prompt")
+
+
+_SHOWN = "{0}.name || '（' || {0}.category || '）' || CASE WHEN {0}.attributes <> '{{}}' THEN ' ' || {0}.attributes ELSE '' END"
+ORACLES["judge_prompt_texts"] = sql(ENT, body=f"""
+SELECT q.center, q.rank, 'J' || chr(10) || 'A: ' || {_SHOWN.format("a")} || chr(10) || 'B: ' || {_SHOWN.format("b")}
+  || CASE WHEN q.common_names <> '' THEN chr(10) || 'common: ' || replace(q.common_names, '|', '、') ELSE '' END AS prompt
+FROM ({ORACLES["recommend_center"]}) q JOIN ent a ON a.id = q.source_id JOIN ent b ON b.id = q.target_id""")

@@ -407,3 +407,15 @@ def missing_image_files(spark, sf_dir):
 
 ORACLES["missing_image_files"] = """SELECT page_id AS id, url AS stored_path FROM pages
 WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '?'))"""
+
+
+@query
+def retained_times(spark, sf_dir):
+    """Every event as a snapshot: those to keep, at least ten minutes apart."""
+    kept = VS.keep_spaced(table(spark, sf_dir, "events").select("ts"), "ts", VS.GAP_SECONDS)
+    return kept.select(F.unix_micros("ts").alias("kept_at"))
+
+
+ORACLES["retained_times"] = """WITH RECURSIVE e AS (SELECT DISTINCT epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+chain AS (SELECT min(t) AS t FROM e UNION ALL SELECT min(e.t) FROM chain c JOIN e ON e.t >= c.t + 600000000 GROUP BY c.t)
+SELECT t AS kept_at FROM chain WHERE t IS NOT NULL"""

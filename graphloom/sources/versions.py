@@ -5,12 +5,13 @@ A version is written in full before its log row, so a failed write leaves the fo
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import schema as S
 from graphloom.graph import Graph, load_graph, make_graph, save_graph
+from graphloom.session import materialize
 
 KEEP = 10
 GAP_SECONDS = 600
@@ -151,3 +152,33 @@ class VersionStore:
         spans = self.history().select("version", "log_from", "log_to", F.explode(F.sequence(bucket("log_from"), bucket("log_to"))).alias("_b"))
         rows = op_logs.select("id", bucket("id").alias("_b"))
         return rows.join(spans, "_b").where("log_from <= id AND id <= log_to").select("version", "id")
+
+
+def keep_spaced(rows: DataFrame, time_col: str, seconds: int) -> DataFrame:
+    """Distinct times of a history to keep: the oldest, then always the first that is at least ``seconds`` after the one kept before.
+
+    Every time points to its successor, which lies in the next slice of ``seconds`` or else opens the first slice behind it that
+    holds any. Pointers are doubled until they leave the history, and the chain from the oldest is marked by them from the
+    longest to the shortest, so its length costs its logarithm in rounds. Null times are left out; no rows give none.
+    """
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    gap = seconds * 1_000_000
+    times = materialize(rows.select(micros.alias("t")).where("t is not null").distinct().withColumn("slice", F.floor(F.col("t") / gap)), "times")
+    # the first time at or after t + gap within its slice: a running minimum from behind, slice by slice
+    asked = times.select((F.col("slice") + 1).alias("slice"), (F.col("t") + gap).alias("at"), F.col("t").alias("asks"))
+    both = asked.union(times.select("slice", F.col("t").alias("at"), F.lit(None).cast("long")))
+    behind = Window.partitionBy("slice").orderBy(F.desc("at"), F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("to", F.min(F.when(F.col("asks").isNull(), F.col("at"))).over(behind)).where("asks is not null")
+    # one row a slice: the start of the next slice that holds any time
+    opens = times.groupBy("slice").agg(F.min("t").alias("open"))
+    later = both.select("slice").distinct().join(opens, "slice", "left").withColumn(
+        "next_open", F.min("open").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)))
+    links = inside.join(later, "slice").select(F.col("asks").alias("t"), F.coalesce("to", "next_open").alias("to")).where("to is not null")
+    jumps = [materialize(links, "jumps")]
+    while not jumps[-1].isEmpty():
+        again = jumps[-1].select(F.col("t").alias("to"), F.col("to").alias("far"))
+        jumps.append(materialize(jumps[-1].join(again, "to").select("t", F.col("far").alias("to")), "jumps"))
+    kept = materialize(times.agg(F.min("t").alias("t")).where("t is not null"), "kept")
+    for jump in reversed(jumps):
+        kept = materialize(kept.union(kept.join(jump, "t").select(F.col("to").alias("t"))).distinct(), "kept")
+    return kept.select(F.timestamp_micros("t").alias(time_col))

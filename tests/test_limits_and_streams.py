@@ -175,3 +175,23 @@ print("rows", Q.semantic_search(q, v, 3).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_retained_times_at_any_spacing(spark):
+    """Greedy choice by pointers against a plain loop: ties, gaps of many slices, exact distances, nulls, nothing at all."""
+    from datetime import datetime, timedelta
+
+    from graphloom.sources.versions import keep_spaced
+
+    rng = random.Random(8)
+    start = datetime(2024, 1, 1)
+    seconds = [0, 600, 600, 1200, 1799, 1800, 90_000] + [rng.randrange(200_000) for _ in range(300)] + [500_000 + i for i in range(700)]
+    times = [start + timedelta(seconds=s) for s in seconds]
+    rng.shuffle(times)
+    want = []
+    for t in sorted(times):
+        if not want or t - want[-1] >= timedelta(seconds=600):
+            want.append(t)
+    df = spark.createDataFrame([(t, 1) for t in times] + [(None, 1)], "ts timestamp, slice int").repartition(3)
+    assert sorted(r.ts for r in keep_spaced(df, "ts", 600).collect()) == want
+    assert keep_spaced(df.where("ts is null"), "ts", 600).count() == 0
