@@ -15,12 +15,16 @@ def turns_of(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, turns): the turns of every conversation in order, each as (role, text).
 
     Ordered by turn, then role and text, so repeated rows stay and ties have one order. Null roles and texts
-    are empty. Rows without a turn number come first.
+    are empty. Rows without a turn number come first. A row without an id belongs to no other: it is a conversation of its own,
+    so that such rows never come together in one task.
     """
     role, text = (F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in ("role", "text"))
     row = F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"))
     ordered = F.sort_array(F.collect_list(row))
-    return df.groupBy(F.col(f"`{id_col}`")).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    key = F.col(f"`{id_col}`")
+    alone = F.when(key.isNull(), F.monotonically_increasing_id()).alias("_alone")
+    turns = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+    return df.groupBy(key, alone).agg(turns).drop("_alone")
 
 
 def common_prefix(a, b):
@@ -69,10 +73,11 @@ def format_pairs(df: DataFrame, id_col: str, chosen: str = "chosen_turns", rejec
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, id_col: str = "pair_id", roles=TRAINED_ROLES) -> DataFrame:
-    """As ``format_pairs``, from two tables of turns (id, turn, role, text); a pair lacking a side has it empty."""
+    """As ``format_pairs``, from two tables of turns (id, turn, role, text); a pair lacking a side has it empty, and so has a row
+    without an id, which is no pair with any other."""
     c = turns_of(chosen, id_col).withColumnRenamed("turns", "chosen_turns")
     r = turns_of(rejected, id_col).withColumnRenamed("turns", "rejected_turns").withColumnRenamed(id_col, "_rid")
-    both = c.join(r, F.col(id_col).eqNullSafe(F.col("_rid")), "full")
+    both = c.join(r, F.col(id_col) == F.col("_rid"), "full")
     return format_pairs(both.withColumn(id_col, F.coalesce(id_col, "_rid")), id_col, roles=roles)
 
 

@@ -100,7 +100,7 @@ def op13_vector_codes(spark, sf_dir):
 ORACLES["op9_preference_format"] = """
 WITH t AS (
   SELECT conv_id, list_sort(list({'turn': coalesce(turn, -1), 'role': coalesce(role, ''), 'text': coalesce(text, '')})) AS ts
-  FROM conversations GROUP BY conv_id),
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations) GROUP BY conv_id, alone),
 a AS (SELECT *, list_filter(generate_series(1, len(ts)), lambda i: ts[i].role = 'assistant') AS ans FROM t),
 p AS (
   SELECT conv_id,

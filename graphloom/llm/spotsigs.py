@@ -106,6 +106,14 @@ def likeness(a: str, b: str, at_least: float = 0.0, size: int = SKETCH) -> float
     return min(most, float(np.isin(union, common, assume_unique=True).mean()))
 
 
+def set_likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard of two whole signature sets, exact; two empty sets are alike (1)."""
+    if len(x) == len(y) and (x == y).all():
+        return 1.0
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SKETCH) -> DataFrame:
     """(id, n_signatures, fingerprint) of every text; null texts count as empty. Rows are kept as they come."""
     def make():
@@ -310,24 +318,27 @@ def compare_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Fingerprint of every text and of its edited text (see ``edited``; the other is the next document).
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    n_signatures. Null texts count as empty; two empty texts are alike (1).
+    n_signatures. Both likenesses are those of the whole sets, which are in hand here. Null texts count as empty; two empty
+    texts are alike (1).
     """
     def make():
         spots = Spots()
-        last: list = [None, None]  # the walk gives each text twice: as successor, then itself
+        last: list = [None, None, None]  # the walk gives each text twice: as successor, then itself
 
-        def sketch(text):
+        def known(text):
             if last[0] != text:
-                last[:] = text, fingerprint(signatures(text, spots), size)
-            return last[1]
+                sigs = signatures(text, spots)
+                last[:] = text, sigs, fingerprint(sigs, size)
+            return last[1], last[2]
 
         def each(k, text, other):
-            own = sketch(text)
+            own, fp = known(text)
             changed = edited(text, other)
-            fp = own if changed == text else fingerprint(signatures(changed, spots), size)
-            beyond = sketch(other)
+            new = own if changed == text else signatures(changed, spots)
+            new_fp = fp if new is own else fingerprint(new, size)
+            beyond, _ = known(other)
             sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-            return k, len(text), sha, own, fp, likeness(own, fp, size=size), likeness(own, beyond, size=size), int(own[:8], 16)
+            return k, len(text), sha, fp, new_fp, set_likeness(own, new), set_likeness(own, beyond), len(own)
 
         return each
 

@@ -217,9 +217,9 @@ def test_preference_pairs(spark):
         assert [tuple(x) for x in r["chosen_spans"]] == cs and [tuple(x) for x in r["rejected_spans"]] == rs
         for start, length in cs:
             assert r["chosen"][start:start + length].endswith("<|end|>\n")
-    odd = spark.createDataFrame([(None, 0, None, None), (7, None, "user", "x"), (7, None, "user", "x"), (8, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    odd = spark.createDataFrame([(None, 0, None, None), (None, 0, "user", "alone"), (7, None, "user", "x"), (7, None, "user", "x"), (8, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
     rows = preference.format_pairs(preference.stale_answers(odd), "conv_id").collect()
-    assert len(rows) == 3
+    assert len(rows) == 4 and sorted(r["prompt"].count("<|start|>") for r in rows) == [0, 1, 1, 2]
     assert preference.format_pairs(preference.stale_answers(odd.limit(0)), "conv_id").count() == 0
 
 
