@@ -22,6 +22,8 @@ TEXT_TYPE, FIELDS_TYPE = "text/plain; charset=utf-8", "application/warc-fields"
 #: Elements of HTML whose content is no text, and those that end a line.
 HIDDEN = {"script", "style", "template", "noscript", "title", "head", "svg", "iframe", "textarea", "select"}
 RAW = {"script", "style", "title", "textarea"}
+#: Elements that may stand in a head; any other ends one that is not closed.
+IN_HEAD = {"base", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"}
 LINES = {
     "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "table",
@@ -43,7 +45,7 @@ def derived_id(source: str, kind: str) -> str:
 
 
 def events(page: str):
-    """("text", text), ("open", name, attributes) and ("close", name) of an HTML text, in order, in linear time."""
+    """("text", text), ("open", name, attributes, place after it) and ("close", name) of an HTML text, in order, in linear time."""
     at, n = 0, len(page)
     no_more = set()  # closing strings known not to follow any more
     while at < n:
@@ -75,7 +77,7 @@ def events(page: str):
         if m[1]:
             yield "close", name
             continue
-        yield "open", name, m[3]
+        yield "open", name, m[3], at
         if name in RAW and not m[3].endswith("/"):
             end = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
             stop = end.start() if end else n
@@ -83,14 +85,31 @@ def events(page: str):
             at = stop
 
 
+def closed_last(page: str, name: str, known: dict[str, int]) -> int:
+    """Place of the last end tag of an element in the page, -1 without one; looked for once a page."""
+    if name not in known:
+        known[name] = max((m.start() for m in re.compile(f"</{name}", re.I | re.A).finditer(page)), default=-1)
+    return known[name]
+
+
 def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
-    """Visible text (one line per block, white space collapsed) and the metadata fields of a page."""
+    """Visible text (one line per block, white space collapsed) and the metadata fields of a page.
+
+    A head without its end tag ends at the first element or text that may not be in it. Another hidden element ends with its
+    parent at the latest, and hides nothing where the rest of the page does not close it at all (a script, style, title or text
+    area reaches to the end then).
+    """
+    last: dict[str, int] = {}  # where the last end tag of an element stands
+    outer: dict[str, int] = {}  # open elements outside of what is hidden, and inside
+    inner: dict[str, int] = {}
     out: list[str] = []
     title: list[str] = []
     fields: list[tuple[str, str]] = []
     hidden: list[str] = []
     for kind, what, *rest in events(page):
         if kind == "text":
+            if hidden == ["head"] and not what.isspace():
+                hidden.clear()
             if not hidden:
                 out.append(what)
             elif hidden[-1] == "title":
@@ -103,16 +122,26 @@ def read_page(page: str) -> tuple[str, list[tuple[str, str]]]:
                 fields.append(("outlink", f"{found['href']} L a/@href"))
             elif what == "meta" and found.get("name") and found.get("content"):
                 fields.append((f"meta-{found['name'].lower()}", found["content"]))
-            if what == "body":
+            if what == "body" or (hidden == ["head"] and what not in IN_HEAD):
                 hidden.clear()
-            if what in HIDDEN and not rest[0].endswith("/"):
-                hidden.append(what)
+            if not rest[0].endswith("/"):
+                now = inner if hidden else outer
+                now[what] = now.get(what, 0) + 1
+                if what in HIDDEN and (what in RAW or what == "head" or rest[1] <= closed_last(page, what, last)):
+                    if not hidden:
+                        inner.clear()
+                    hidden.append(what)
             if what in LINES:
                 out.append("\n")
         else:
             if what in hidden:
                 while hidden.pop() != what:
                     pass
+            elif hidden and inner.get(what):
+                inner[what] -= 1
+            elif outer.get(what):
+                outer[what] -= 1
+                hidden.clear()  # the parent of what is hidden ends
             if what in LINES:
                 out.append("\n")
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
