@@ -2,7 +2,8 @@
 
 Centroids come from a bounded sample, split until no list holds much more than its share, and form an in-memory
 graph that is searched greedily to store. Every vector is stored in its nearest list and, near a border, in further ones.
-A query visits all lists whose centroids are about as near as the nearest one, however many these are. Nearness is the inner product;
+A query visits all lists whose centroids are about as near as the nearest one, however many these are. How near that is follows
+the data: a bounded second sample tells at which ratio the lists hold the wanted share of true neighbours. Nearness is the inner product;
 vectors get one more component that gives all the same length, so that it agrees with distance.
 """
 
@@ -18,7 +19,8 @@ LIST_ROWS = 500  # wanted vectors a list
 MAX_LISTS = 2_048  # lists at most; beyond, lists grow and are cut into blocks
 BLOCK_ROWS = 4_096  # vectors of a list compared by one task at a time
 REPLICAS, BORDER = 2, 1.02  # a vector is in lists up to this ratio of its distance to the nearest, in so many at most
-RATIO, LEAST_LISTS = 1.13, 8  # a query visits lists up to this ratio, and at least so many
+RATIO, LEAST_LISTS = 1.13, 8  # a query visits lists up to this ratio or the fitted one, if larger, and at least so many
+PROBE_ROWS, PROBES, SHARE = 10_000, 512, 0.95  # vectors the ratio is fitted on, queries among them, share of neighbours wanted
 DEGREE, STORE_BEAM = 24, 16  # neighbours of a centroid in the graph; width of a search to store
 SEED = 7
 
@@ -128,6 +130,35 @@ def query_on_sphere(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x * (top / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
 
 
+def fitted_ratio(x: np.ndarray, centroids: Centroids, top: float, rows: int, k: int) -> float:
+    """Smallest ratio of distances at which a query's lists hold ``SHARE`` of its nearest vectors, read off the sample ``x``.
+
+    The first ``PROBES`` vectors are the queries. Of ``rows`` vectors in all the sample has a part, and so has every query's
+    neighbourhood: the nearest ``k`` times that part, one at least, stand for its ``k`` nearest. Where one stands for fewer
+    than one, it lies farther than the true ones and the ratio errs to the large side.
+    """
+    if len(x) < 2:
+        return RATIO
+    ids = []
+    for lo in range(0, len(x), 512):
+        i, d = centroids.search(on_sphere(x[lo:lo + 512], top), STORE_BEAM)
+        take = (i[:, :REPLICAS] >= 0) & (d[:, :REPLICAS] <= BORDER * d[:, :1] + 1e-12)
+        ids.append(np.where(take, i[:, :REPLICAS], i[:, :1]))
+    ids = np.concatenate(ids)
+    n = min(max(1, -(-k * len(x) // max(rows, 1))), k, len(x) - 1)
+    q = x[:PROBES]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argpartition(-score, n - 1, axis=1)[:, :n]
+    order, dist = centroids.ranked(query_on_sphere(q, top))
+    to = np.empty_like(dist)
+    np.put_along_axis(to, order, dist, 1)
+    least = to[np.arange(len(q))[:, None, None], ids[near]].min(2)
+    apart = dist[:, 0] > 0  # a query that is a centroid has no ratio; it goes by the number of vectors its lists hold
+    needed = least[apart] / dist[apart, :1]
+    return max(RATIO, float(np.quantile(needed, SHARE, method="higher"))) if apart.any() else RATIO
+
+
 def _lists(df: DataFrame, centroids, top: float, replicas: int | None, ratio: float, sizes: dict | None, k: int, carry: str) -> DataFrame:
     """Rows (key, v, list) of (key, v): stored vectors to at most ``replicas`` lists, queries (sizes given) to all within the ratio."""
     def make():
@@ -180,11 +211,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     facts = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     top = float(np.sqrt(facts["top"]))
 
-    # bounded: at most SAMPLE vectors come to the driver, at most MAX_LISTS centroids go out
-    sample = stored.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    # bounded: at most SAMPLE + PROBE_ROWS vectors come to the driver, at most MAX_LISTS centroids go out
+    sample = stored.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + PROBE_ROWS).collect()
+    sample = np.array([r["v"] for r in sample], dtype=np.float64)
     lists = min(MAX_LISTS, -(-facts["n"] // list_rows))
-    points = balanced_centroids(on_sphere(np.array([r["v"] for r in sample], dtype=np.float64), top), lists)
-    centroids = spark.sparkContext.broadcast(Centroids(points))
+    index = Centroids(balanced_centroids(on_sphere(sample[:SAMPLE], top), lists))
+    ratio = fitted_ratio(sample[-PROBE_ROWS:], index, top, facts["n"], k)
+    centroids = spark.sparkContext.broadcast(index)
 
     posted = materialize(_lists(stored, centroids, top, REPLICAS, BORDER, None, k, "id"), "postings")
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
@@ -193,7 +226,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
 
     asked = materialize(read(queries).where(F.size("v") == dims["d"]).dropDuplicates(["id", "v"]), "queries")
     distinct = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-    visits = _lists(distinct, centroids, top, None, RATIO, sizes, k + 1, "id").join(F.broadcast(blocks), "list")
+    visits = _lists(distinct, centroids, top, None, ratio, sizes, k + 1, "id").join(F.broadcast(blocks), "list")
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     cols = ["list", "block", "role", "id", "v"]
