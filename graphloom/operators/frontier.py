@@ -1,4 +1,4 @@
-"""Level-wise expansion over an edge table, shared by ego, path and closure operators."""
+"""Level-wise expansion over an edge table, shared by ego and path operators."""
 
 from dataclasses import dataclass
 from functools import reduce
@@ -67,24 +67,24 @@ def first_level(seeds: DataFrame, keys) -> DataFrame:
     return materialize(seeds.select(*keys, "node").distinct().withColumn("next_rel", none).withColumn("next_node", none), "level")
 
 
-def next_level(adj: Adjacency, levels: list[DataFrame], keys, front: DataFrame, directed=False) -> tuple[DataFrame, int]:
+def next_level(adj: Adjacency, levels: list[DataFrame], keys, front: DataFrame) -> tuple[DataFrame, int]:
     """The level behind ``front`` (rows of the last level still worth expanding), and its number of rows."""
     from graphloom.session import materialize
 
     step = adj.expand(front.select(*keys, "node")).groupBy(*keys, F.col("dst").alias("_to")).agg(
         F.min("rel_id").alias("next_rel"), F.min_by("node", "rel_id").alias("next_node")
     ).withColumnRenamed("_to", "node")
-    old = union([lv.select(*keys, "node") for lv in (levels if directed else levels[-2:])])
+    old = union([lv.select(*keys, "node") for lv in levels[-2:]])
     step = step.join(old, [*keys, "node"], "left_anti").select(*keys, "node", "next_rel", "next_node")
     return materialize(step, "level", counted=True)
 
 
-def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, directed=False, keep=None) -> list[DataFrame]:
+def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, keep=None) -> list[DataFrame]:
     """Breadth-first levels per key: tables (keys, node, next_rel, next_node), one per depth.
 
     ``next_rel`` is the smallest relation id that leads one level back, and ``next_node`` its end, so
     following them from a node spells the smallest relation-id sequence among the shortest paths.
-    Undirected search needs only the last two levels to tell new nodes from old ones.
+    Edges lead both ways, so the last two levels tell new nodes from old ones.
     ``keep(levels)`` may return the keys still worth expanding, or None to stop.
     """
     levels = [first_level(seeds, keys)]
@@ -95,7 +95,7 @@ def levels_from(adj: Adjacency, seeds: DataFrame, keys, max_depth=None, directed
             if live is None:
                 break
             front = front.join(live, keys, "left_semi")
-        step, rows = next_level(adj, levels, keys, front, directed)
+        step, rows = next_level(adj, levels, keys, front)
         if rows == 0:
             break
         levels.append(step)

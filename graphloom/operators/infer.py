@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.graph import Graph
-from graphloom.operators.frontier import HUB_ROWS, build_adjacency, levels_from, union
+from graphloom.operators.frontier import HUB_ROWS, union
 from graphloom.operators.match import touching
-from graphloom.session import materialize
+from graphloom.session import broadcast_bounded, materialize
 
+WASTE = 4.0  # rows that a round of the closure may join, per chain known; decides how far it reaches, not what is found
 COLUMNS = ["source_id", "target_id", "name", "category", "rule", "via"]
 
 
@@ -40,47 +41,76 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "source_id long, target_id long, name string, category string, rule string, via array<bigint>")
 
 
-def infer_transitive(g: Graph, ont: Ontology = DEFAULT_ONTOLOGY, hub_rows: int = HUB_ROWS) -> DataFrame:
-    """Closure per transitive name without the explicit triples; ``via`` is the smallest shortest chain.
-
-    Levels grow backwards from every end, so the chain of a new pair is its own edge in front of the
-    chain already known. Pairs at level one are the explicit triples.
+def _salted(left: DataFrame, right: DataFrame, hub_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of chains with a column ``salt``: the right halves of a middle with over ``hub_rows`` of them are spread."""
+    hubs = materialize(right.groupBy("code", F.col("s").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("salts"))
+                       .where("salts > 1"), "hubs")
+    if hubs.isEmpty():
+        return left.withColumn("salt", F.lit(0)), right.withColumn("salt", F.lit(0))
+    at = lambda df, node: df.join(broadcast_bounded(hubs.withColumnRenamed("hub", node)), ["code", node], "left")
+    salts = F.coalesce("salts", F.lit(1))
+    return (at(left, "t").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"),
+            at(right, "s").withColumn("salt", F.pmod(F.xxhash64("t"), salts).cast("int")).drop("salts"))
+
+
+def _reach(left: DataFrame, right: DataFrame, m: int, known: int) -> int:
+    """How long right halves may be: the largest power of two up to ``m`` at which the join stays within ``WASTE`` times the
+    chains known, one at least. In trees and long chains that is ``m``; where nodes lie close together, joining whole halves would
+    mostly find known pairs again."""
+    step = F.pow(F.lit(2.0), F.ceil(F.log2("d"))).cast("long")
+    ends = left.groupBy("code", F.col("t").alias("s")).agg(F.count(F.lit(1)).alias("a"))
+    starts = right.groupBy("code", "s", step.alias("step")).agg(F.count(F.lit(1)).alias("b"))
+    sizes = ends.join(starts, ["code", "s"]).groupBy("step").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("n"))
+    total, best = 0.0, 1
+    for r in sizes.orderBy("step").collect():  # a row for each power of two
+        total += r["n"]
+        if r["step"] <= m and total <= WASTE * known:
+            best = r["step"]
+    return best
+
+
+def chains(rel: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame | None:
+    """(code, s, t, d, via) for all pairs two or more steps apart, of edges (code, s, t, id): the smallest shortest chain of ids.
+
+    Knowing all pairs up to distance m, a round joins those at distance m to those up to distance b and so gets all up to m + b:
+    the first m steps and the rest of a smallest shortest chain are themselves smallest and shortest. With b = m distances
+    double, so a chain of n edges takes about log2(n) rounds. A self-loop is no step; None if no pair is that far apart.
     """
+    first = rel.where("s <> t").groupBy("code", "s", "t").agg(F.min("id").alias("id"))
+    part, known = materialize(first.select("code", "s", "t", F.lit(1).cast("long").alias("d"), F.array("id").alias("via")), "chains", counted=True)
+    parts, m = [part], 1
+    while True:
+        rows = union(parts)
+        left = part.where(F.col("d") == m)
+        b = _reach(left, rows, m, known)
+        left, right = _salted(left, rows.where(F.col("d") <= b), hub_rows)
+        rest = right.select("code", "salt", F.col("s").alias("t"), F.col("t").alias("end"), F.col("d").alias("more"), F.col("via").alias("rest"))
+        met = left.join(rest, ["code", "salt", "t"]).where("s <> end")
+        best = F.min(F.struct((F.col("d") + F.col("more")).alias("d"), F.concat("via", "rest").alias("via"))).alias("x")
+        found = met.groupBy("code", "s", F.col("end").alias("t")).agg(best).select("code", "s", "t", "x.d", "x.via")
+        part, n = materialize(found.join(rows, ["code", "s", "t"], "left_anti"), "chains", counted=True)
+        if n == 0:
+            break
+        parts.append(part)
+        m, known = m + b, known + n
+        if part.where(F.col("d") == m).isEmpty():
+            break
+    return union(parts[1:]) if len(parts) > 1 else None
+
+
+def infer_transitive(g: Graph, ont: Ontology = DEFAULT_ONTOLOGY, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """Closure per transitive name without the explicit triples; ``via`` is the smallest shortest chain."""
     if not ont.transitive:
         return _empty(g.spark)
     rel = g.relations.where(F.col("name").isin(list(ont.transitive)))
     # one integer per name keeps the edge key numeric and the search within one name
     code = F.array_position(F.array(*[F.lit(n) for n in ont.transitive]), F.col("name")).cast("long")
-    rel = materialize(rel.select("id", "source_id", "target_id", "name", "category", code.alias("code")), "rules")
-    starts = rel.select("code", F.col("source_id").alias("node")).distinct()
-    mid = rel.join(starts, (F.col("target_id") == F.col("node")) & (rel["code"] == starts["code"]), "left_semi")
-    # only ends that have an edge into them from a middle node can lie two or more steps away
-    reach = rel.join(
-        mid.select(F.col("target_id").alias("m"), F.col("code").alias("mc")).distinct(),
-        (F.col("source_id") == F.col("m")) & (F.col("code") == F.col("mc")), "left_semi")
-    at = lambda c: F.struct("code", F.col(c).alias("nid"))
-    adj = build_adjacency(
-        rel.select(at("target_id").alias("src"), at("source_id").alias("dst"), F.col("id").alias("rel_id")), hub_rows)
-    seeds = reach.select(at("target_id").alias("end")).distinct().select("end", F.col("end").alias("node"))
-    levels = levels_from(adj, seeds, ["end"], directed=True)
-    via = None
-    out = []
-    for depth, lv in enumerate(levels):
-        if depth == 0:
-            continue
-        if depth == 1:
-            via = lv.select("end", "node", F.array("next_rel").alias("via"))
-            continue
-        before = via.select("end", F.col("node").alias("next_node"), F.col("via").alias("rest"))
-        via = materialize(lv.join(before, ["end", "next_node"]).select(
-            "end", "node", F.concat(F.array("next_rel"), "rest").alias("via")), "via")
-        out.append(via)
-    if not out:
+    rel = materialize(rel.select("id", F.col("source_id").alias("s"), F.col("target_id").alias("t"), "name", "category", code.alias("code")), "rules")
+    far = chains(rel, hub_rows)
+    if far is None:
         return _empty(g.spark)
     first = rel.select(F.col("id").alias("first"), "name", "category")
-    rows = union(out).select(
-        F.col("node.nid").alias("source_id"), F.col("end.nid").alias("target_id"), "via",
-        F.element_at("via", 1).alias("first"))
+    rows = far.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"), "via", F.element_at("via", 1).alias("first"))
     return rows.join(first, "first").select(
         "source_id", "target_id", "name", "category", F.concat(F.lit("传递性("), "name", F.lit(")")).alias("rule"), "via")
 
@@ -110,7 +140,7 @@ def infer_inverse(g: Graph, ont: Ontology = DEFAULT_ONTOLOGY) -> DataFrame:
     if not ont.inverse:
         return _empty(g.spark)
     rules = g.spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(ont.inverse)], "ord int, p string, q string")
-    rel = g.relations.join(F.broadcast(rules), F.col("name") == F.col("p"))  # hand-written rule list
+    rel = g.relations.join(broadcast_bounded(rules), F.col("name") == F.col("p"))
     rows = rel.select(
         F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.col("q").alias("name"), "category",
         F.concat(F.lit("逆关系("), "p", F.lit(" ↔ "), "q", F.lit(")")).alias("rule"), "ord", "id")

@@ -172,9 +172,10 @@ def test_shortest_paths_from_both_ends(spark, make, seed, hub):
     assert hops >= 3 and sum(seen) < sum(lv.count() for lv in one[1:])
 
 
-def test_transitive_closure_matches_a_plain_model(spark, make):
+@pytest.mark.parametrize("nodes, links", [(10, 14), (14, 60), (24, 30)])
+def test_transitive_closure_matches_a_plain_model(spark, make, nodes, links):
     rng = random.Random(5)
-    names, edges = graph_of(rng, 10, 14)
+    names, edges = graph_of(rng, nodes, links)
     g = make(names, edges)
     out = defaultdict(list)
     for i, (a, _, b) in enumerate(edges):
@@ -194,6 +195,23 @@ def test_transitive_closure_matches_a_plain_model(spark, make):
         assert got == want
 
 
+@pytest.mark.parametrize("waste", [4.0, 0.0])
+def test_closure_rounds_and_chains(spark, make, monkeypatch, waste):
+    """A long chain with a second, equally long way in it closes in few rounds; a bound of nothing goes step by step to the same result."""
+    n = 100 if waste else 12
+    reach, kept = I._reach, []
+    monkeypatch.setattr(I, "WASTE", waste)
+    monkeypatch.setattr(I, "_reach", lambda *a: kept.append(reach(*a)) or kept[-1])
+    edges = [(str(i), "属于", str(i + 1)) for i in range(n)] + [("4", "属于", "x"), ("x", "属于", "6"), ("3", "属于", "3")]
+    g = make([*map(str, range(n + 1)), "x"], edges)
+    got = {(r.source_id, r.target_id): list(r.via) for r in I.infer_transitive(g).collect()}
+    want = {(i + 1, j + 1): list(range(i + 1, j + 1)) for i in range(n) for j in range(i + 2, n + 1)}
+    x, into, out = n + 2, n + 1, n + 2
+    want |= {(i + 1, x): [*range(i + 1, 5), into] for i in range(4)} | {(x, j + 1): [out, *range(7, j + 1)] for j in range(7, n + 1)}
+    assert got == want
+    assert len(kept) <= 8 if waste else kept == [1] * n  # the last round finds nothing
+
+
 def brute_pairs(names, edges, cap=300):
     nb = defaultdict(set)
     for a, _, b in edges:
