@@ -1,6 +1,5 @@
 """Chunking, model outputs, candidates, retrieval, export, streams."""
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -516,14 +515,17 @@ def log_files(spark, sf_dir):
     return path
 
 
+def streamed(spark, moved, keys=()):
+    """Newest rows of a running aggregate after all that is there has been read."""
+    path = new_path(spark, "moved")
+    ST.keep_moved(moved, path, new_path(spark, "stream"), {"availableNow": True}).awaitTermination()
+    return ST.latest(spark, path, moved, keys)
+
+
 @query
 def stream_op_counts(spark, sf_dir):
     logs = ST.watch_changes(spark, log_files(spark, sf_dir), max_files=1)
-    name = f"counts_{uuid.uuid4().hex[:8]}"
-    q = (ST.stream_op_counts(logs).writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    return streamed(spark, ST.stream_op_counts(logs), ["op_type", "source"])
 
 
 ORACLES["stream_op_counts"] = sql(LOG, body=" SELECT op_type, source, count(*)::BIGINT AS n, max(id) AS last_id FROM log GROUP BY ALL")
@@ -531,10 +533,7 @@ ORACLES["stream_op_counts"] = sql(LOG, body=" SELECT op_type, source, count(*)::
 
 @query
 def stream_signature(spark, sf_dir):
-    logs = ST.watch_changes(spark, log_files(spark, sf_dir), max_files=1)
-    got = []
-    ST.emit_changes(logs, lambda b, n, v: got.append((b, n, v)), new_path(spark, "stream"), {"availableNow": True}).awaitTermination()
-    return spark.createDataFrame(got[-1:], "batch long, logs long, version long").drop("batch")
+    return streamed(spark, ST.change_signature(ST.watch_changes(spark, log_files(spark, sf_dir), max_files=1)))
 
 
 ORACLES["stream_signature"] = "SELECT count(*)::BIGINT AS logs, max(event_id) + 1 AS version FROM events"

@@ -20,27 +20,43 @@ def watch_changes(spark: SparkSession, log_dir: str, max_files: int | None = Non
 
 
 def stream_op_counts(logs: DataFrame) -> DataFrame:
-    """Running counts by kind and source; write in update or complete mode."""
+    """Running counts by kind and source; in update mode a trigger yields the counts that moved."""
     return logs.groupBy("op_type", "source").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
 
 
 def change_signature(logs: DataFrame) -> DataFrame:
-    """One row: number of log rows and highest id; as a stream it yields a row only when a batch changed it."""
+    """One row: number of log rows and highest id; in update mode a trigger yields it only if it moved."""
     return logs.agg(F.count(F.lit(1)).alias("logs"), F.max("id").alias("version"))
 
 
-def emit_changes(logs: DataFrame, on_change, checkpoint: str, trigger: dict | None = None):
-    """Start a query that calls ``on_change(batch_id, logs, version)`` when the signature moves."""
-    seen = {}
+def keep_moved(moved: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start a query that writes the rows of an aggregate that moved in a trigger to the table at ``path``, under the trigger's number.
+
+    The values live in the state store of ``checkpoint``, so a restart goes on from them; a trigger that is run again
+    replaces what it wrote. ``latest`` reads the table.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
+
+    return (moved.writeStream.outputMode("update").foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start())
+
+
+def latest(spark: SparkSession, path: str, moved: DataFrame, keys=()) -> DataFrame:
+    """Newest row per ``keys`` of a table that ``keep_moved`` wrote for ``moved``; empty before its first trigger."""
+    rows = _read(spark, path, T.StructType([*moved.schema.fields, T.StructField("trigger", T.LongType())]))
+    values = [c for c in moved.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger").alias("x"))
+    return newest.where("x IS NOT NULL").select(*keys, "x.*").select(*moved.columns)
 
+
+def emit_changes(logs: DataFrame, on_change, checkpoint: str, trigger: dict | None = None):
+    """Start a query that calls ``on_change(batch_id, logs, version)`` when the signature moves; again for a trigger that is run again."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.collect():  # the one signature row
-            sig = (row["logs"], row["version"])
-            if seen.get("sig") != sig:
-                seen["sig"] = sig
-                on_change(batch_id, *sig)
+        for row in batch.where("logs > 0").collect():  # the one signature row, if it moved
+            on_change(batch_id, row["logs"], row["version"])
 
-    return (change_signature(logs).writeStream.outputMode("complete").foreachBatch(each)
+    return (change_signature(logs).writeStream.outputMode("update").foreachBatch(each)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start())
 
 

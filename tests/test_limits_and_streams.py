@@ -195,3 +195,28 @@ def test_retained_times_at_any_spacing(spark):
     df = spark.createDataFrame([(t, 1) for t in times] + [(None, 1)], "ts timestamp, slice int").repartition(3)
     assert sorted(r.ts for r in keep_spaced(df, "ts", 600).collect()) == want
     assert keep_spaced(df.where("ts is null"), "ts", 600).count() == 0
+
+
+def test_running_values_survive_a_restart(spark, tmp_path):
+    """Only moved rows are written, a new start goes on from the stored values, an empty stream gives no row."""
+    folder, out, cp = (str(tmp_path / n) for n in ("logs", "out", "cp"))
+    row = lambda i, op: (i, op, "{}", None, "手工")
+    send = lambda rows: spark.createDataFrame(rows, S.OP_LOGS).coalesce(1).write.mode("append").parquet(folder)
+    moved = lambda: ST.stream_op_counts(ST.watch_changes(spark, folder))
+    keys = ["op_type", "source"]
+
+    def run():
+        ST.keep_moved(moved(), out, cp, {"availableNow": True}).awaitTermination()
+        return {r.op_type: (r.n, r.last_id) for r in ST.latest(spark, out, moved(), keys).collect()}
+
+    spark.createDataFrame([], S.OP_LOGS).write.parquet(folder)
+    assert ST.latest(spark, out, moved(), keys).count() == 0
+    send([row(1, "ADD_ENTITY"), row(2, "UNDO")])
+    assert run() == {"ADD_ENTITY": (1, 1), "UNDO": (1, 2)}
+    send([row(3, "UNDO")])
+    assert run() == {"ADD_ENTITY": (1, 1), "UNDO": (2, 3)}
+    assert spark.read.parquet(out).where("op_type = 'ADD_ENTITY'").count() == 1  # not written again
+    assert run()["UNDO"] == (2, 3)
+    seen = []
+    ST.emit_changes(ST.watch_changes(spark, folder), lambda b, n, v: seen.append((n, v)), str(tmp_path / "cp2"), {"availableNow": True}).awaitTermination()
+    assert seen == [(3, 3)]
