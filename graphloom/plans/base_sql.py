@@ -39,7 +39,7 @@ REL = """rel AS MATERIALIZED (
 
 ALI = """ali AS (
   SELECT (2000000000 + n_nationkey)::BIGINT AS entity_id, 'N' || n_nationkey::VARCHAR AS alias FROM nation
-  UNION ALL SELECT 7000000000 + c_custkey, 'C#' || c_custkey::VARCHAR FROM customer WHERE c_custkey % 10 = 0
+  UNION ALL SELECT 7000000000 + c_custkey, 'C#' || c_custkey::VARCHAR FROM customer
 )"""
 
 VEC = """vec AS (

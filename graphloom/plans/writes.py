@@ -285,7 +285,7 @@ SELECT c_custkey + 1 AS req_idx, 7000000000 + c_custkey AS entity_id, 'seg ' ||
   FROM customer JOIN s ON m = c_mktsegment
 UNION ALL SELECT c_custkey + 1000000000, 7000000000 + c_custkey, n_name, 409 FROM customer JOIN nation ON n_nationkey = c_nationkey
 UNION ALL SELECT c_custkey + 2000000000, 7000000000 + c_custkey, c_name, 400 FROM customer
-UNION ALL SELECT c_custkey + 3000000000, 7000000000 + c_custkey, 'C#' || c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 200 ELSE 201 END FROM customer
+UNION ALL SELECT c_custkey + 3000000000, 7000000000 + c_custkey, 'C#' || c_custkey, 200 FROM customer
 UNION ALL SELECT o_orderkey + 4000000000, 7000000000 + o_orderkey, 'o' || o_orderkey, CASE WHEN o_orderkey < (SELECT count(*) FROM customer) THEN 201 ELSE 404 END FROM orders"""
 
 
@@ -302,13 +302,15 @@ SELECT entity_id, alias FROM ali UNION ALL SELECT entity_id, alias FROM o""")
 
 @query
 def remove_aliases(spark, sf_dir):
-    """Remove the alias with the id of every customer; most have none."""
+    """Remove the alias with the id of every customer and supplier; suppliers have none."""
     g = store(spark, sf_dir)
     ids = table(spark, sf_dir, "customer").select((F.col("c_custkey") + CUSTOMER * KIND).alias("id"))
+    ids = ids.unionAll(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIER * KIND).alias("id")))
     return C.remove_aliases(g, ids)[1]
 
 
-ORACLES["remove_aliases"] = "SELECT 7000000000 + c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 200 ELSE 404 END AS status FROM customer"
+ORACLES["remove_aliases"] = """SELECT 7000000000 + c_custkey AS id, 200 AS status FROM customer
+UNION ALL SELECT 5000000000 + s_suppkey, 404 FROM supplier"""
 
 
 @query

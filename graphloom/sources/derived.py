@@ -109,7 +109,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(NATION * KIND) + F.col("n_nationkey").cast("long")).alias("entity_id"),
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("alias"),
     )
-    customer = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(
+    customer = table(spark, sf_dir, "customer").select(
         (F.lit(CUSTOMER * KIND) + F.col("c_custkey").cast("long")).alias("entity_id"),
         F.concat(F.lit("C#"), F.col("c_custkey").cast("string")).alias("alias"),
     )
