@@ -55,6 +55,12 @@ def _has(df: DataFrame, id_: int) -> bool:
     return not df.where(F.col("id") == id_).isEmpty()
 
 
+def _ends_there(g: Graph, row: dict) -> None:
+    for end in ("source_id", "target_id"):
+        if not _has(g.entities, row[end]):
+            raise ValueError(f"{end}_missing")
+
+
 def _put(g: Graph, kind: str, row: dict) -> Graph:
     """Replace or add one row taken from a snapshot, with all its columns."""
     table, _, schema = _KINDS[kind]
@@ -83,13 +89,15 @@ def _take_out(g: Graph, kind: str, snapshot: dict):
 
 
 def _set_back(g: Graph, kind: str, snapshot: dict):
-    """Inverse of an update: the row as it was before. An entity keeps its source and time."""
+    """Inverse of an update: the row as it was before. An entity keeps its source and time, a relation needs both its ends."""
     table, _, schema = _KINDS[kind]
     before = snapshot["before"]
     rows = getattr(g, table)
     if not _has(rows, before["id"]):
         raise ValueError(f"{kind.lower()}_missing")
     done = {"id": before["id"], "outcome": "undone"}
+    if kind == "RELATION":
+        _ends_there(g, before)
     if kind != "ENTITY":
         return _put(g, kind, before), done
     hit = F.col("id") == before["id"]
@@ -104,9 +112,7 @@ def _bring_back(g: Graph, kind: str, snapshot: dict):
     if _has(getattr(g, table), row["id"]):
         return g, {"id": row["id"], "outcome": "back"}
     if kind == "RELATION":
-        for end in ("source_id", "target_id"):
-            if not _has(g.entities, row[end]):
-                raise ValueError(f"{end}_missing")
+        _ends_there(g, row)
     lost = snapshot.get("cascaded_relations") or 0
     return _put(g, kind, row), {"id": row["id"], "outcome": "undone", "n_relations": lost}
 

@@ -4,10 +4,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from graphloom.graph import load_graph, save_graph
+from graphloom.graph import load_graph, make_graph, save_graph
 from graphloom.operators import changes as C
 from graphloom.operators import images as M
 from graphloom.operators import undo as U
+from graphloom.operators import undo_steps as US
 from graphloom.operators import validate as V
 from graphloom.plans.base_sql import ALI, ENT, LOG, REL, sql
 from graphloom.plans.registry import ORACLES, query, store
@@ -336,6 +337,84 @@ ORACLES["undo_candidate"] = sql(LOG, body=""", n AS (SELECT * FROM log ORDER BY
 SELECT id, op_type, snapshot FROM n WHERE op_type <> 'UNDO' AND id NOT IN (SELECT e::BIGINT FROM n WHERE op_type = 'UNDO') ORDER BY id DESC LIMIT 1""")
 
 
+def event_history(spark, sf_dir):
+    """The events as the history of a graph of users: the first event of a user adds them, a click renames, a purchase adds a relation to
+    one region, a view an alias, a later signup deletes a relation, an error undoes the event before. Purchases and deleted
+    relations of a value below 10 are exceptions: the former are gone, the latter exist again."""
+    e = table(spark, sf_dir, "events")
+    first = e.groupBy("user_id").agg(F.min("event_id").alias("first"))
+    e = e.join(first, "user_id").withColumn("op", F.expr(
+        "CASE WHEN event_id = first THEN 'ADD_ENTITY' WHEN event_type = 'click' THEN 'UPDATE_ENTITY' WHEN event_type = 'purchase' THEN 'ADD_RELATION' "
+        "WHEN event_type = 'view' THEN 'ADD_ALIAS' WHEN event_type = 'signup' THEN 'DELETE_RELATION' ELSE 'UNDO' END"))
+    text, low = F.col("user_id").cast("string"), F.col("value") < 10
+    user = lambda name: F.struct(F.col("user_id").alias("id"), name.alias("name"), F.lit("抽象实体").alias("category"), F.lit("{}").alias("attributes"), F.lit("手工").alias("source"))
+    plain = F.concat(F.lit("user "), text)
+    rel = F.struct(F.when(F.col("op") == "ADD_RELATION", F.col("event_id")).otherwise(F.col("event_id") + 10**9).alias("id"), F.col("user_id").alias("source_id"),
+                   F.lit(REGION * KIND).alias("target_id"), F.lit("购买").alias("name"), F.lit("互动").alias("category"), F.lit("确证").alias("confidence"),
+                   F.lit("").alias("source_ref"), F.lit("手工").alias("source"))
+    alias = F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("entity_id"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("alias"))
+    is_ = lambda *ops: F.col("op").isin(*ops)
+    snap = F.to_json(F.struct(
+        F.when(is_("ADD_ENTITY"), user(plain)).alias("entity"), F.when(is_("ADD_RELATION", "DELETE_RELATION"), rel).alias("relation"),
+        F.when(is_("UPDATE_ENTITY"), user(F.concat(plain, F.lit(" before e"), F.col("event_id").cast("string")))).alias("before"),
+        F.when(is_("ADD_ALIAS"), alias).alias("alias"), F.when(is_("UNDO"), F.col("event_id")).alias("undone_log")))
+    logs = e.select((F.col("event_id") + 1).alias("id"), F.col("op").alias("op_type"), snap.alias("snapshot"), F.col("ts").cast("timestamp").alias("created_at"), F.lit("手工").alias("source"))
+    when = F.lit(None).cast("timestamp").alias("created_at")
+    root = spark.range(1).select(F.lit(REGION * KIND).alias("id"), F.lit("root").alias("name"), F.lit("抽象实体").alias("category"), F.lit("{}").alias("attributes"), when, F.lit("手工").alias("source"))
+    users = e.where(is_("ADD_ENTITY")).select(user(plain).alias("u")).select("u.id", "u.name", "u.category", "u.attributes", when, "u.source")
+    rels = e.where((is_("ADD_RELATION") & ~low) | (is_("DELETE_RELATION") & low)).select(rel.alias("r")).select(
+        "r.id", "r.source_id", "r.target_id", "r.name", "r.category", "r.confidence", "r.source_ref", when, "r.source")
+    als = e.where(is_("ADD_ALIAS")).select(alias.alias("a")).select("a.id", "a.entity_id", "a.alias", when)
+    return make_graph(spark, entities=users.unionByName(root), relations=rels, aliases=als, op_logs=logs)
+
+
+_UNDONE: dict = {}
+
+
+def _all_undone(spark, sf_dir):
+    """Every change of the event history undone, once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _UNDONE:
+        path = new_path(spark, "events")
+        save_graph(event_history(spark, sf_dir), path)
+        _UNDONE[key] = US.undo_many(load_graph(spark, path))
+    return _UNDONE[key]
+
+
+@query
+def undo_all_steps(spark, sf_dir):
+    """What became of every change of the event history, newest first."""
+    return _all_undone(spark, sf_dir)[1]
+
+
+@query
+def undo_all_rows(spark, sf_dir):
+    """The rows that are left when every change is undone."""
+    g = _all_undone(spark, sf_dir)[0]
+    row = lambda df, what, name: df.select(F.lit(what).alias("what"), "id", F.col(name).alias("name"))
+    return row(g.entities, "entity", "name").union(row(g.relations, "relation", "name")).union(row(g.aliases, "alias", "alias"))
+
+
+_HISTORY = """WITH e AS (SELECT event_id AS e, user_id AS u, value < 10 AS low, CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id) THEN 'ADD_ENTITY'
+    WHEN event_type = 'click' THEN 'UPDATE_ENTITY' WHEN event_type = 'purchase' THEN 'ADD_RELATION' WHEN event_type = 'view' THEN 'ADD_ALIAS'
+    WHEN event_type = 'signup' THEN 'DELETE_RELATION' ELSE 'UNDO' END AS op FROM events),
+c AS (SELECT *, row_number() OVER (ORDER BY e DESC) AS step FROM e WHERE op <> 'UNDO' AND e + 1 NOT IN (SELECT e FROM e WHERE op = 'UNDO')),
+r AS (SELECT e AS id, u FROM e WHERE op = 'ADD_RELATION' AND NOT low AND e NOT IN (SELECT e FROM c)
+  UNION ALL SELECT e + 1000000000, u FROM e WHERE op = 'DELETE_RELATION' AND (low OR e IN (SELECT e FROM c))),
+gone AS (SELECT u FROM c WHERE op = 'ADD_ENTITY')"""
+
+ORACLES["undo_all_steps"] = _HISTORY + """, n AS (SELECT u, count(*) AS n FROM r GROUP BY 1)
+SELECT step, (e + 1)::BIGINT AS log_id, op AS op_type, (CASE op WHEN 'ADD_RELATION' THEN e WHEN 'ADD_ALIAS' THEN e WHEN 'DELETE_RELATION' THEN e + 1000000000 ELSE u END)::BIGINT AS id,
+ CASE WHEN op = 'ADD_RELATION' AND low THEN 'gone' WHEN op = 'DELETE_RELATION' AND low THEN 'back' ELSE 'undone' END AS outcome,
+ (CASE WHEN op = 'ADD_ENTITY' THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS n_relations FROM c LEFT JOIN n USING (u)"""
+
+ORACLES["undo_all_rows"] = _HISTORY + """, b AS (SELECT u, min(e) AS e FROM c WHERE op = 'UPDATE_ENTITY' GROUP BY 1)
+SELECT 'entity' AS what, u::BIGINT AS id, 'user ' || u || coalesce(' before e' || b.e, '') AS name FROM (SELECT DISTINCT u FROM e WHERE u NOT IN (FROM gone)) LEFT JOIN b USING (u)
+UNION ALL SELECT 'entity', 1000000000, 'root'
+UNION ALL SELECT 'relation', id::BIGINT, '购买' FROM r WHERE u NOT IN (FROM gone)
+UNION ALL SELECT 'alias', e::BIGINT, 'u' || e FROM e WHERE op = 'ADD_ALIAS' AND e NOT IN (SELECT e FROM c) AND u NOT IN (FROM gone)"""
+
+
 @query
 def version_history(spark, sf_dir):
     """Two savepoints around a batch, one that finds no change, and a restore."""
