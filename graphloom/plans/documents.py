@@ -361,6 +361,25 @@ ORACLES["validate_plans"] = """SELECT event_id, errors = '' AS ok, errors FROM (
  WHEN 'signup' THEN '输出中未找到JSON对象' ELSE 'steps必须为非空数组' END AS errors FROM events)"""
 
 
+@query
+def plan_steps(spark, sf_dir):
+    """A plan of three steps per part; those of parts above size 12 ask for too long paths and give no steps."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("int")
+    steps = [
+        F.struct(F.lit("keyword").alias("tool"), F.col("p_name").alias("q")),
+        F.struct(F.lit("path").alias("tool"), F.col("p_brand").alias("from"), F.col("p_type").alias("to"), size.alias("max")),
+        F.struct(F.lit("ego").alias("tool"), F.col("p_type").alias("center"), F.when(size < 7, size).alias("depth"))]
+    text = F.concat(F.lit('plan: {"steps":['), F.concat_ws(",", *map(F.to_json, steps)), F.lit("]}"))
+    return I.plan_steps(p.select(F.col("p_partkey").cast("long").alias("qid"), text.alias("text"))).select("qid", "step", "tool", "q", "from", "to", "max", "center", "depth")
+
+
+ORACLES["plan_steps"] = """WITH p AS (SELECT p_partkey::BIGINT AS qid, * FROM part WHERE p_size <= 12)
+SELECT qid, 0 AS step, 'keyword' AS tool, p_name AS q, NULL AS "from", NULL AS "to", NULL::BIGINT AS max, NULL AS center, NULL::BIGINT AS depth FROM p
+UNION ALL SELECT qid, 1, 'path', NULL, p_brand, p_type, p_size, NULL, NULL FROM p
+UNION ALL SELECT qid, 2, 'ego', NULL, NULL, NULL, NULL, p_type, CASE WHEN p_size < 7 THEN p_size END FROM p"""
+
+
 def retrieval_steps(spark, sf_dir):
     """Four steps per nation: keyword, edges into it, the path to its region, its surroundings."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

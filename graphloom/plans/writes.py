@@ -449,6 +449,21 @@ UNION ALL SELECT id, 'S' || (id % 1000000000), category, '{"acctbal":0}', 1 FROM
 UNION ALL SELECT hw.e + pos, 'HQ ' || n_nationkey, '抽象实体', '{}', 1 FROM nat, hw""")
 
 
+@query
+def version_log_members(spark, sf_dir):
+    """The log saved half way and at its end: the savepoint each log row is bound to."""
+    logs = store(spark, sf_dir).op_logs
+    half = logs.agg(F.floor(F.max("id") / 2)).first()[0]
+    vs = VS.VersionStore(spark, new_path(spark, "versions"))
+    vs.savepoint(make_graph(spark, op_logs=logs.where(F.col("id") <= half)), "half", always=True)
+    vs.savepoint(make_graph(spark, op_logs=logs), "all", always=True)
+    return vs.log_range_members(logs)
+
+
+ORACLES["version_log_members"] = """SELECT (CASE WHEN event_id + 1 <= (SELECT (max(event_id) + 1) // 2 FROM events) THEN 1 ELSE 2 END)::BIGINT AS version, (event_id + 1)::BIGINT AS id
+FROM events"""
+
+
 @query
 def parse_history(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -490,6 +505,40 @@ ORACLES["missing_image_files"] = """SELECT page_id AS id, url AS stored_path FRO
 WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '?'))"""
 
 
+def _images_asked(spark, sf_dir):
+    """Images named by the labelled documents, whether they exist or not."""
+    return M.delete_images(store(spark, sf_dir).entity_images, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id")))
+
+
+@query
+def delete_images_status(spark, sf_dir):
+    return _images_asked(spark, sf_dir)[1]
+
+
+ORACLES["delete_images_status"] = """SELECT DISTINCT doc_id::BIGINT AS id, CASE WHEN doc_id IN (SELECT page_id FROM pages) THEN 200 ELSE 404 END AS status FROM labels"""
+
+
+@query
+def delete_images_left(spark, sf_dir):
+    return _images_asked(spark, sf_dir)[0].select("id", "entity_id", "filename", "stored_path")
+
+
+ORACLES["delete_images_left"] = """SELECT page_id::BIGINT AS id, (5000000000 + page_id % 10)::BIGINT AS entity_id, 'p' || page_id || '.html' AS filename, url AS stored_path
+FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)"""
+
+
+@query
+def source_errors(spark, sf_dir):
+    """Orders whose state stands for a source that graph rows, or log rows, may not have."""
+    source = F.when(F.col("o_orderstatus") == "F", "手工").when(F.col("o_orderstatus") == "O", "系统")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", source.alias("source"))
+    return V.source_errors(rows).withColumn("rule", F.lit("graph")).union(V.source_errors(rows, True).withColumn("rule", F.lit("log")))
+
+
+ORACLES["source_errors"] = """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN '系统' END AS source, 'graph' AS rule FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey, NULL, 'log' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"""
+
+
 @query
 def retained_times(spark, sf_dir):
     """Every event as a snapshot: those to keep, at least ten minutes apart."""
