@@ -13,7 +13,7 @@ from graphloom.plans.registry import ORACLES, query, store
 from graphloom.plans.search import nation_questions
 from graphloom.session import new_path
 from graphloom.sources import export as X
-from graphloom.sources.derived import NATION, table
+from graphloom.sources.derived import CUSTOMER, KIND, NATION, RKIND, table
 from graphloom.streaming import changes as ST
 
 LIMITS = (RT.MAX_STEPS, RT.EDGE_ROWS, RT.KEYWORD_TOP, RT.EGO_NODES)
@@ -433,6 +433,24 @@ def retrieval_context(spark, sf_dir):
     return prompt
 
 
+@query
+def customer_context(spark, sf_dir):
+    """The prompt for a question about every customer: customer, nation and the relation between them."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    qid = F.col("c_custkey").cast("long").alias("qid")
+    asked = c.select(qid, F.concat(F.lit("Where is "), "c_name").alias("text"))
+    key = lambda col, kind: (F.col(col).cast("long") + kind * KIND).alias("id")
+    members = c.select(qid, F.lit(0).alias("pos"), key("c_custkey", CUSTOMER)).union(c.select(qid, F.lit(1), key("c_nationkey", NATION)))
+    rel = c.select(qid, F.lit(0).alias("pos"), (F.lit(3 * RKIND) + F.col("c_custkey").cast("long") * KIND + F.col("c_nationkey")).alias("rel_id"))
+    return RT.answer_context(store(spark, sf_dir), asked, members, rel)[0]
+
+
+ORACLES["customer_context"] = sql(ENT, REL, body="""
+SELECT c_custkey::BIGINT AS qid, '【用户问题】Where is ' || c_name || chr(10) || '【实体】' || a.name || '#' || a.id || '、' || b.name || '#' || b.id || chr(10) ||
+ '【关系】' || a.name || '#id' || a.id || ' —[' || rel.name || ']→ ' || b.name AS prompt
+FROM customer JOIN ent a ON a.id = 7000000000 + c_custkey JOIN rel ON rel.source_id = a.id JOIN ent b ON b.id = rel.target_id AND b.id = 2000000000 + c_nationkey""")
+
+
 @query
 def scan_by_name_relations(spark, sf_dir):
     _, rel = RT.scan_by_name(store(spark, sf_dir), nation_questions(spark, sf_dir), 10)
