@@ -124,16 +124,14 @@ def scan_by_name(g: Graph, questions: DataFrame, cap: int | None = None):
     return hits, rel.select("qid", F.col("id").alias("rel_id"), "source_id", "target_id", "name").distinct()
 
 
-def answer_context(g: Graph, questions: DataFrame, entities: DataFrame, relations: DataFrame, answers: DataFrame | None = None,
-                   shown_entities: int | None = None, shown_relations: int | None = None):
-    """Prompt text, co-neighbors, bridges and evidence paths per question.
-
-    ``entities`` (qid, pos, id) and ``relations`` (qid, pos, rel_id) are merged step results; the prompt
-    shows the first ``shown_entities`` and ``shown_relations``, or all.
-    """
+def _context_rows(g: Graph, entities: DataFrame, relations: DataFrame):
+    """Merged step results with names, ends and relation names, written once."""
     e = materialize(entities.join(g.entities.select("id", "name"), "id"), "context")
     r = g.relations.select(F.col("id").alias("rel_id"), "source_id", "target_id", F.col("name").alias("rel"))
-    r = materialize(relations.join(r, "rel_id"), "context_rel")
+    return e, materialize(relations.join(r, "rel_id"), "context_rel")
+
+
+def _prompt(questions: DataFrame, e: DataFrame, r: DataFrame, shown_entities: int | None, shown_relations: int | None) -> DataFrame:
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat("name", F.lit("#"), F.col("id").cast("string")).alias("t")))), lambda x: x["t"]), "、")
     ent_text = (e if shown_entities is None else e.where(F.col("pos") < shown_entities)).groupBy("qid").agg(shown.alias("ents"))
     name = lambda c, out: e.select("qid", F.col("id").alias(c), F.col("name").alias(out))
@@ -144,8 +142,25 @@ def answer_context(g: Graph, questions: DataFrame, entities: DataFrame, relation
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "；").alias("rels"))
     q = questions.join(ent_text, "qid", "left").join(rel_text, "qid", "left")
     none = lambda c: F.coalesce(c, F.lit("（无）"))
-    prompt = q.select("qid", F.concat(
+    return q.select("qid", F.concat(
         F.lit("【用户问题】"), F.col("text"), F.lit("\n【实体】"), none("ents"), F.lit("\n【关系】"), none("rels")).alias("prompt"))
+
+
+def answer_prompt(g: Graph, questions: DataFrame, entities: DataFrame, relations: DataFrame,
+                  shown_entities: int | None = None, shown_relations: int | None = None) -> DataFrame:
+    """(qid, prompt) alone, for callers that ask for nothing else of :func:`answer_context`."""
+    return _prompt(questions, *_context_rows(g, entities, relations), shown_entities, shown_relations)
+
+
+def answer_context(g: Graph, questions: DataFrame, entities: DataFrame, relations: DataFrame, answers: DataFrame | None = None,
+                   shown_entities: int | None = None, shown_relations: int | None = None):
+    """Prompt text, co-neighbors, bridges and evidence paths per question.
+
+    ``entities`` (qid, pos, id) and ``relations`` (qid, pos, rel_id) are merged step results; the prompt
+    shows the first ``shown_entities`` and ``shown_relations``, or all.
+    """
+    e, r = _context_rows(g, entities, relations)
+    prompt = _prompt(questions, e, r, shown_entities, shown_relations)
     members = e.select(F.col("qid").alias("set_id"), "pos", "id", "name")
     co = R.co_neighbors(g, members).withColumnRenamed("set_id", "qid")
     br = R.bridges(g, members).withColumnRenamed("set_id", "qid")
