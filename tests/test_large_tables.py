@@ -1,9 +1,9 @@
 """Forms that stay bounded on larger tables."""
 
-from graphloom import schema as S
-from graphloom.graph import load_graph, make_graph, save_graph
+from graphloom.graph import load_graph, make_graph, save_graph, undirected_edges
 from graphloom.operators import match as M
 from graphloom.operators import recommend as R
+from graphloom.operators.frontier import build_adjacency
 from graphloom.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,22 @@ def test_answer_prompts_alone_do_not_compute_the_rest(spark, monkeypatch):
         monkeypatch.setattr(R, name, refuse)
     rows = all_queries()["customer_context"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/customer.parquet").count() and all("【关系】Customer" in r.prompt for r in rows)
+
+
+def test_tables_of_many_rows_in_small_files_are_not_broadcast(spark, tmp_path):
+    """400,000 entities of one name take some 3 MB of files, and far more as a broadcast table."""
+    rows = spark.range(400_000).selectExpr("id", "'n' AS name", "'c' AS category", "'{}' AS attributes", "cast(null AS timestamp) AS created_at", "'s' AS source")
+    save_graph(make_graph(spark, entities=rows), str(tmp_path / "g"))
+    g = load_graph(spark, str(tmp_path / "g"))
+    keys = g.entities.selectExpr("cast(id AS string) AS key")
+    plan = M.key_candidates(g, keys, "http")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_buckets_of_an_adjacency_follow_its_edges(spark, make):
+    g = make(["a", "b", "c"], [("a", "r", "b"), ("b", "q", "a"), ("a", "s", "c"), ("b", "t", "c")])
+    adj = build_adjacency(undirected_edges(g.relations), 2, merge=True, bucket_rows=2)
+    assert sorted(map(tuple, adj.rows.select("src", "dst", "rel_id").collect())) == [(1, 2, 1), (1, 3, 3), (2, 1, 1), (2, 3, 4), (3, 1, 3), (3, 2, 4)]
+    ids = spark.createDataFrame([(1,), (3,)], "node long")
+    assert sorted((r.node, r.dst) for r in adj.expand(ids).collect()) == [(1, 2), (1, 3), (3, 1), (3, 2)]
+    assert "out of 4" in adj.rows.groupBy("src", "salt").count()._jdf.queryExecution().executedPlan().toString()  # 8 edges, 2 a bucket
