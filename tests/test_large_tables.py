@@ -36,3 +36,26 @@ def test_buckets_of_an_adjacency_follow_its_edges(spark, make):
     ids = spark.createDataFrame([(1,), (3,)], "node long")
     assert sorted((r.node, r.dst) for r in adj.expand(ids).collect()) == [(1, 2), (1, 3), (3, 1), (3, 2)]
     assert "out of 4" in adj.rows.groupBy("src", "salt").count()._jdf.queryExecution().executedPlan().toString()  # 8 edges, 2 a bucket
+
+
+def test_targets_meet_few_entities_of_equal_long_neighbors(spark, make, monkeypatch):
+    """60 nodes of two hubs, some with neighbors of their own: every pair was spelled out, now the first of each kind stand for all."""
+    leaves = [f"n{i}" for i in range(60)]
+    edges = [(n, "r", f"h{i % 2}") for i, n in enumerate(leaves)] + [(n, "r", "h2") for n in leaves[::3]]
+    edges += [(leaves[i], "r", f"own{i % 7}") for i in range(0, 60, 5)]
+    g = make([*leaves, "h0", "h1", "h2", *[f"own{i}" for i in range(7)]], edges)
+    name = {r.name: r.id for r in g.entities.collect()}
+    nb = {i: set() for i in name.values()}
+    for a, _, b in edges:
+        nb[name[a]].add(name[b])
+        nb[name[b]].add(name[a])
+    written = {}
+    keep = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, tag="t", **kw: written.setdefault(tag, keep(df, tag, **kw)))
+    got = {}
+    for r in R.similar_by_structure(g, g.entities.select("id"), k=3, light_members=4).collect():
+        got.setdefault(r.target, []).append((r["rank"], r.id, r.score))
+    for t in nb:
+        want = sorted((-len(nb[t] & nb[o]) / len(nb[t] | nb[o]), o) for o in nb if o != t and (nb[t] & nb[o] or o in nb[t]))[:3]
+        assert sorted(got.get(t, [])) == [(i + 1, o, round(-s, 4)) for i, (s, o) in enumerate(want)]
+    assert written["stand"].count() < written["met_long"].count() / 2
