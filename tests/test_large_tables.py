@@ -1,5 +1,7 @@
 """Forms that stay bounded on larger tables."""
 
+from pyspark.sql import functions as F
+
 from graphloom.graph import load_graph, make_graph, save_graph, undirected_edges
 from graphloom.operators import match as M
 from graphloom.operators import recommend as R
@@ -59,3 +61,13 @@ def test_targets_meet_few_entities_of_equal_long_neighbors(spark, make, monkeypa
         want = sorted((-len(nb[t] & nb[o]) / len(nb[t] | nb[o]), o) for o in nb if o != t and (nb[t] & nb[o] or o in nb[t]))[:3]
         assert sorted(got.get(t, [])) == [(i + 1, o, round(-s, 4)) for i, (s, o) in enumerate(want)]
     assert written["stand"].count() < written["met_long"].count() / 2
+
+
+def test_batches_of_long_texts_are_cut_by_bytes(spark):
+    from graphloom.llm.common import map_batches
+    from graphloom.session import BATCH_BYTES
+
+    docs = spark.range(2000, numPartitions=1).select(F.expr("repeat('word and ', 2000)").alias("text"))
+    sizes = map_batches(docs, lambda: lambda batches: ([[b.nbytes], [b.num_rows]] for b in batches), "bytes bigint, n bigint").collect()
+    assert sum(r["n"] for r in sizes) == 2000
+    assert max(r["bytes"] for r in sizes) <= 2 * BATCH_BYTES
