@@ -5,18 +5,37 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, undirected_edges
 from graphloom.operators.frontier import HUB_ROWS, build_adjacency, first_level, levels_from, next_level, union, with_level
-from graphloom.session import at_least, materialize
+from graphloom.session import at_least, broadcast_bounded, materialize, with_position
 
 LONGS = "array<bigint>"
+BITS = 63  # centers that walk together, a bit each
 
 
 def ego_levels(g: Graph, centers: DataFrame, depth: int | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
-    """(center, id, level) by undirected breadth-first search; depth None or 0 means all levels."""
+    """(center, id, level) by undirected breadth-first search; depth None or 0 means all levels.
+
+    Up to 63 centers walk together: a level holds a node once, with a bit for every center that gets there, so edges are met
+    once a level and not once for each center.
+    """
     known = centers.select("id").distinct().join(g.entities.select("id"), "id", "left_semi")
     adj = build_adjacency(undirected_edges(g.relations), hub_rows)
-    seeds = known.select(F.col("id").alias("center"), F.col("id").alias("node"))
-    levels = levels_from(adj, seeds, ["center"], depth or None)
-    return with_level(levels).select("center", F.col("node").alias("id"), F.col("level").cast("int").alias("level"))
+    at = with_position(known, "id").select(
+        F.col("id").alias("center"), F.floor(F.col("pos") / BITS).alias("pack"), F.pmod("pos", F.lit(BITS)).cast("int").alias("bit"))
+    at = materialize(at, "centers")
+    levels = [materialize(at.select("pack", F.col("center").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")), "level")]
+    while not depth or len(levels) <= depth:
+        step = adj.expand(levels[-1]).select("pack", F.col("dst").alias("node"), F.col("mask").alias("new"), F.lit(0).cast("long").alias("old"))
+        # edges lead both ways, so the last two levels tell new nodes from old ones
+        old = union([lv.select("pack", "node", F.lit(0).cast("long").alias("new"), F.col("mask").alias("old")) for lv in levels[-2:]])
+        step = step.unionByName(old).groupBy("pack", "node").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        step = step.select("pack", "node", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("mask")).where("mask <> 0")
+        step, rows = materialize(step, "level", counted=True)
+        if rows == 0:
+            break
+        levels.append(step)
+    set_bits = F.expr(f"filter(sequence(0, {BITS - 1}), i -> (shiftright(mask, i) & 1) = 1)")
+    return with_level(levels).select("pack", "node", "level", F.explode(set_bits).alias("bit")).join(broadcast_bounded(at), ["pack", "bit"]).select(
+        "center", F.col("node").alias("id"), F.col("level").cast("int").alias("level"))
 
 
 def unknown_centers(g: Graph, centers: DataFrame) -> DataFrame:
@@ -104,7 +123,8 @@ def all_paths(g: Graph, pairs: DataFrame, max_hops: int = 4, limit: int = 5, hub
 
     (source_id, target_id, rank, hops, path, nodes). At a node with an edge to the target, edges after
     the first such edge are not followed. A partial path lives only while the target can still be
-    reached within the hops left, which a search from the target tells beforehand.
+    reached within the hops left, which a search from the target tells. That search grows by a level only when its last one has no
+    more rows than there are partial paths to drop; until it reaches as far as the hops left, all of them live.
     """
     max_hops, limit = at_least(max_hops, 1, "max_hops"), at_least(limit, 1, "limit")
     ids = g.entities.select("id")

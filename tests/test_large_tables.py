@@ -71,3 +71,24 @@ def test_batches_of_long_texts_are_cut_by_bytes(spark):
     sizes = map_batches(docs, lambda: lambda batches: ([[b.nbytes], [b.num_rows]] for b in batches), "bytes bigint, n bigint").collect()
     assert sum(r["n"] for r in sizes) == 2000
     assert max(r["bytes"] for r in sizes) <= 2 * BATCH_BYTES
+
+
+def test_centers_walk_together(spark, make, monkeypatch):
+    from graphloom import session
+    from graphloom.operators import traverse
+
+    rows, write = [], session.materialize
+
+    def seen(df, tag="t", counted=False):
+        out, n = write(df, tag, True)
+        rows.append(n if tag == "level" else 0)
+        return (out, n) if counted else out
+
+    monkeypatch.setattr(session, "materialize", seen)  # frontier takes it from there
+    monkeypatch.setattr(traverse, "materialize", seen)
+    names = ["hub", *[f"leaf{i}" for i in range(100)]]
+    g = make(names, [("hub", "r", n) for n in names[1:]])
+    got = {(r.center, r.id): r.level for r in traverse.ego_levels(g, g.entities.select("id")).collect()}
+    level = lambda a, b: 0 if a == b else 1 if 1 in (a, b) else 2
+    assert got == {(a, b): level(a, b) for a in range(1, 102) for b in range(1, 102)}
+    assert sum(rows) <= 2 * 3 * 101  # packs of centers, levels, nodes
