@@ -134,11 +134,18 @@ def all_paths(g: Graph, pairs: DataFrame, max_hops: int = 4, limit: int = 5, hub
     adj = build_adjacency(undirected_edges(g.relations), hub_rows)
     key = ["source_id", "target_id"]
     seeds = pairs.where("source_id <> target_id").select(F.col("target_id").alias("key"), F.col("target_id").alias("node"))
-    levels = levels_from(adj, seeds, ["key"], max_hops - 1)
-    near = with_level(levels).select(F.col("key").alias("target_id"), F.col("node").alias("dst"), "level")
-    stop = None
+    levels = levels_from(adj, seeds, ["key"], 1)
+    stop, size = None, 0
     if len(levels) > 1:
+        size = levels[1].count()
         stop = levels[1].select(F.col("key").alias("target_id"), "node", F.col("next_rel").alias("stop"))
+
+    def near(df, left):
+        if left == 0:
+            return df.where("node = target_id")
+        reach = with_level(levels[:left + 1]).select(F.col("key").alias("target_id"), "node")
+        return df.join(reach, ["target_id", "node"], "left_semi").select(df.columns)
+
     empty = F.array().cast(LONGS)
     zero = pairs.where("source_id = target_id").select(*key, F.lit(0).alias("hops"), empty.alias("path"), F.array("source_id").alias("nodes"))
     found = [zero]
@@ -149,12 +156,19 @@ def all_paths(g: Graph, pairs: DataFrame, max_hops: int = 4, limit: int = 5, hub
             break
         grown = adj.expand(part).where(~F.array_contains("nodes", F.col("dst")))
         grown = grown.join(stop, ["target_id", "node"], "left").where("stop IS NULL OR rel_id <= stop")
-        grown = grown.where("dst <> target_id OR rel_id = stop").join(
-            near.where(F.col("level") <= max_hops - depth), ["target_id", "dst"], "left_semi")
-        grown = grown.select(
+        grown = grown.where("dst <> target_id OR rel_id = stop").select(
             *key, F.col("dst").alias("node"), F.concat("path", F.array("rel_id")).alias("path"),
             F.concat("nodes", F.array("dst")).alias("nodes"))
-        grown, n = materialize(grown, "paths", counted=True)
+        left = max_hops - depth
+        if len(levels) > left or size == 0:
+            grown, n = materialize(near(grown, left), "paths", counted=True)
+        else:
+            grown, n = materialize(grown, "paths", counted=True)
+            while len(levels) <= left and 0 < size <= n:
+                level, size = next_level(adj, levels, ["key"], levels[-1])
+                levels.append(level)
+            if len(levels) > left or size == 0:
+                grown, n = materialize(near(grown, left), "paths", counted=True)
         if n == 0:
             break
         found.append(grown.where("node = target_id").select(*key, F.lit(depth).alias("hops"), "path", "nodes"))

@@ -92,3 +92,30 @@ def test_centers_walk_together(spark, make, monkeypatch):
     level = lambda a, b: 0 if a == b else 1 if 1 in (a, b) else 2
     assert got == {(a, b): level(a, b) for a in range(1, 102) for b in range(1, 102)}
     assert sum(rows) <= 2 * 3 * 101  # packs of centers, levels, nodes
+
+
+def test_paths_do_not_search_far_from_targets_that_few_partial_paths_near(spark, make, monkeypatch):
+    from graphloom.operators import frontier, traverse
+
+    grown, grow = [], frontier.next_level
+
+    def seen(*args):
+        level, n = grow(*args)
+        grown.append(n)
+        return level, n
+
+    monkeypatch.setattr(frontier, "next_level", seen)
+    monkeypatch.setattr(traverse, "next_level", seen)
+    edges = [("S", "r", "T"), ("S", "r", "N"), ("N", "r", "a"), ("a", "r", "p0"), ("c0", "r", "p0")]
+    edges += [(f"c{i}", "in", "T") for i in range(5)] + [(f"c{i}", "r", f"p{i}.{k}") for i in range(5) for k in range(40)]
+    names = sorted({n for a, _, b in edges for n in (a, b)})
+    g = make(names, edges)
+    at = {n: i + 1 for i, n in enumerate(names)}
+    pair = spark.createDataFrame([(at["S"], at["T"])], "source_id long, target_id long")
+    five = [[names[i - 1] for i in r.nodes] for r in traverse.all_paths(g, pair, 5).orderBy("rank").collect()]
+    assert five == [["S", "T"]]  # behind the edge to the target no other edge of S counts
+    back = spark.createDataFrame([(at["N"], at["T"])], "source_id long, target_id long")
+    grown.clear()
+    found = [[names[i - 1] for i in r.nodes] for r in traverse.all_paths(g, back, 5).orderBy("rank").collect()]
+    assert found == [["N", "S", "T"], ["N", "a", "p0", "c0", "T"]]
+    assert sum(grown) < 50  # the 200 ends of c0 to c4 are no use
