@@ -32,16 +32,22 @@ def json_value(text) -> Column:
 def with_tolerant_json(df: DataFrame, column: str, out: str = "json") -> DataFrame:
     """Adds the JSON object text of a possibly fenced answer; trailing commas are forgiven; NULL when unreadable.
 
-    Each stage is a column of its own, so later stages refer to it instead of repeating it.
+    Each stage is computed once inside one expression. As columns of their own, stages are written out in full at every use as soon
+    as a filter on the result is pushed below them.
     """
-    cols = df.columns
     fenced = r"```(?:json)?\s*([\s\S]*?)```"
-    df = df.withColumn("_t", strip(F.col(column)))
-    df = df.withColumn("_t", F.when(F.col("_t").rlike(fenced), strip(F.regexp_extract("_t", fenced, 1))).otherwise(F.col("_t")))
-    df = df.withColumn("_raw", _braces(F.col("_t")))
-    df = df.withColumn("_fixed", F.regexp_replace("_raw", r",\s*([}\]])", "$1"))
-    text = F.when(json_value(F.col("_raw")).isNotNull(), F.col("_raw")).when(json_value(F.col("_fixed")).isNotNull(), F.col("_fixed"))
-    return df.select(*[c for c in cols if c != out], text.alias(out))
+
+    def inside(t):
+        return F.when(t.rlike(fenced), strip(F.regexp_extract(t, fenced, 1))).otherwise(t)
+
+    def readable(t):
+        return F.when(json_value(t).isNotNull(), t)
+
+    def read(raw):
+        return F.coalesce(readable(raw), let(F.regexp_replace(raw, r",\s*([}\]])", "$1"), readable))
+
+    text = let(let(let(strip(F.col(column)), inside), _braces), read)
+    return df.select(*[c for c in df.columns if c != out], text.alias(out))
 
 
 def strict_json(text) -> Column:

@@ -132,3 +132,15 @@ def test_positions_move_rows_once(spark):
     assert with_position(rows.limit(0), "k").count() == 0
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "row_number" not in plan  # the written rows are not dealt again to be numbered
+
+
+def test_answers_are_read_once_whatever_filters_them(spark):
+    from graphloom.operators import ingest as I
+
+    texts = ['{"a":1}', 'x ```json {"a":[1,],} ``` y', "no object", "{bad", None, '{"a":1} {"b":2}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    parsed = I.parse_model_json(rows)
+    assert [r.json for r in parsed.orderBy("doc_id").collect()] == ['{"a":1}', '{"a":[1]}', None, None, None, None]
+    for test in ("json IS NOT NULL", "json IS NULL"):
+        plan = parsed.where(test)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("rlike") <= 2  # one in the filter, one in the output
