@@ -144,3 +144,45 @@ def test_answers_are_read_once_whatever_filters_them(spark):
     for test in ("json IS NOT NULL", "json IS NULL"):
         plan = parsed.where(test)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("rlike") <= 2  # one in the filter, one in the output
+
+
+def _most_joined(df):
+    """Rows of the largest join of a plan that has run."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        n = p.metrics().get("numOutputRows")
+        if "Join" in name and n.isDefined():
+            most = max(most, n.get().value())
+    return most
+
+
+def test_common_names_of_hubs_are_looked_up_from_the_other_end(spark, make):
+    leaves, others = [f"l{i:03}" for i in range(400)], [f"o{i}" for i in range(5)]
+    edges = [("h", "r", n) for n in leaves] + [(o, "r", leaves[10 * i + j]) for i, o in enumerate(others) for j in (1, 0)]
+    g = make(["h", *leaves, *others], edges)
+    out = R.recommend_for(g, g.entities.where("name = 'h'").select("id"))
+    rows = out.collect()
+    assert [(r.target_name, r.common_names) for r in sorted(rows, key=lambda r: r["rank"])] == [
+        (o, [f"l{10 * i:03}", f"l{10 * i + 1:03}"]) for i, o in enumerate(others)]  # by the relations of the hub, not of the other end
+    assert _most_joined(out) < 400
+
+
+def test_only_rows_near_the_limit_are_ranked(spark, make, monkeypatch):
+    written, keep = {}, R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, tag="t", **kw: written.setdefault(tag, keep(df, tag, **kw)))
+    mids = [f"m{i}" for i in range(4)]
+    edges = [("c", "r", m) for m in mids] + [(f"o{i:02}", "r", m) for i in range(40) for m in mids[: 1 + i % 4]]
+    g = make(["c", *mids, *[f"o{i:02}" for i in range(40)]], edges)
+    rows = R.recommend_for(g, g.entities.where("name = 'c'").select("id"), limit=12).orderBy("rank").collect()
+    assert [r.target_name for r in rows] == [f"o{i:02}" for i in range(3, 40, 4)] + ["o02", "o06"]
+    assert written["pairs"].count() == 40 and written["recs"].count() == 12
+    low = written["low"].first()["low"]
+    assert written["pairs"].where(F.floor(F.col("score") * 100) >= low).count() == 20
