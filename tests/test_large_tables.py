@@ -186,3 +186,35 @@ def test_only_rows_near_the_limit_are_ranked(spark, make, monkeypatch):
     assert written["pairs"].count() == 40 and written["recs"].count() == 12
     low = written["low"].first()["low"]
     assert written["pairs"].where(F.floor(F.col("score") * 100) >= low).count() == 20
+
+
+def test_pairs_of_short_features_are_added_up_in_their_task(spark, make, monkeypatch):
+    import math
+    import random
+    from graphloom.operators import overlap
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("pairs are shuffled to be added up")
+
+    monkeypatch.setattr(overlap, "_scored", refuse)
+    monkeypatch.setattr(overlap, "TASK_PAIRS", 50)
+    monkeypatch.setattr(overlap, "FIRST_PART", 2)
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(45)]
+    edges = sorted({(a, "r", b) for a, b in (rnd.sample(names, 2) for _ in range(220))})
+    g = make(names, edges)
+    name = {r.name: r.id for r in g.entities.collect()}
+    nb = {i: set() for i in name.values()}
+    for a, _, b in edges:
+        nb[name[a]].add(name[b])
+        nb[name[b]].add(name[a])
+    for hub in (None, 9):
+        want = []
+        for a in nb:
+            for b in nb:
+                common = nb[a] & nb[b]
+                if a < b and b not in nb[a] and len(common) > 1 and (hub is None or min(len(nb[a]), len(nb[b])) <= hub):
+                    want.append((-round(sum(1 / math.log(len(nb[m]) + 1) for m in common), 4), -len(common), a, b))
+        want = sorted(want)[:20]
+        got = R.recommend(g, limit=20, hub_degree=hub).orderBy("rank").collect()
+        assert [(-r.score, -r.common_count, r.source_id, r.target_id) for r in got] == want
