@@ -4,7 +4,8 @@ The minimiser of a window is the smallest hash among its short word runs. Consec
 at one place form a super-k-mer; equal windows always have equal minimisers.
 
 1. Super-k-mers travel as compact rows (minimiser, hash of their words, place). Minimisers seen once end here.
-2. Of super-k-mers with equal words, all but the first are repeats as they stand.
+2. Of super-k-mers with equal words, all but the first are repeats as they stand. They are sorted next to each other, those of
+   frequent minimisers in parts, so that no large class is paired with its first row by row.
 3. Where a minimiser is left with several different super-k-mers, each travels once as a packed string to the
    bucket of its minimiser. Sorting the bucket's windows, compared word by word, finds those seen before.
    Buckets of very frequent minimisers are divided by a hash of the window.
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Hashes, map_batches, materialize, mix, words
@@ -26,6 +27,7 @@ from graphloom.llm.ngram_join import BUCKETS, bucket_counts, counter_rows
 
 WINDOW = 20  # words in a window
 RUN = 5  # words in the runs that minimisers are chosen from
+CLASS_ROWS = 4096  # super-k-mers of one minimiser that are sorted together
 BUCKET_STRINGS = 256  # packed strings of one minimiser sorted together
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -217,18 +219,24 @@ def seen_before(strings: DataFrame, window: int) -> DataFrame:
 def repeated_spans(df: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Spans (id, tag, at, length) of repeated windows of (id, text); they may overlap."""
     rows = compact(df, window, run)
-    often = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("mini")
-    rows = materialize(rows.join(often, "mini"), "kmers")
+    often = materialize(rows.groupBy("mini").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"), "often")
+    parts = F.ceil(F.col("_c") / CLASS_ROWS)  # the super-k-mers of a frequent minimiser are dealt to parts by their place
+    rows = rows.join(often, "mini").select("mini", "content", F.pmod(F.xxhash64("id", "at"), parts).cast("int").alias("part"), (parts > 1).alias("cut"), "id", "tag", "at", "n")
+    inside = Window.partitionBy("mini", "content", "part").orderBy("id", "at", "n", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    same = lambda: F.col("id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at"))
+    rows = rows.repartition("mini", "content", "part").select("*", F.first("id").over(inside).alias("_id"), F.first("at").over(inside).alias("_at"), F.row_number().over(inside).alias("_rn"))
+    rows = materialize(rows.select("mini", "content", "cut", "id", "tag", "at", "n", (~same()).alias("later"), (F.col("_rn") == 1).alias("leads")), "kmers")
+
+    # a part knows the first of its own; only firsts of several parts meet the first of the whole class
     place = F.struct("id", "at", "n", "tag")
-    classes = rows.groupBy("mini", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_c"))
-    classes = materialize(classes.select("mini", "content", "first", "_c"), "classes")
-
-    copies = classes.where("_c > 1").select("mini", "content", F.col("first.id").alias("_id"), F.col("first.at").alias("_at"))
-    later = rows.join(copies, ["mini", "content"]).where(~(F.col("id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at"))))
+    united = materialize(rows.where("cut AND leads").groupBy("mini", "content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("parts")), "united")
+    open_ = rows.where("cut AND NOT later").join(united.where("parts > 1").select("mini", "content", F.col("first.id").alias("_id"), F.col("first.at").alias("_at")), ["mini", "content"])
+    later = rows.where("later").unionByName(open_.where(~same()).select(*rows.columns))
     later = later.select("id", "tag", "at", (F.col("n") + window - 1).cast("int").alias("length"))
 
+    classes = rows.where("leads AND NOT cut").select("mini", "id", "tag", "at", "n").unionByName(united.select("mini", "first.id", "first.tag", "first.at", "first.n"))
     several = classes.groupBy("mini").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    firsts = materialize(classes.join(several, "mini").select("mini", "first.id", "first.tag", "first.at", "first.n", "classes"), "firsts")
+    firsts = materialize(classes.join(several, "mini").select("mini", "id", "tag", "at", "n", "classes"), "firsts")
     return later.union(seen_before(packed(df, firsts, window), window))
 
 

@@ -305,6 +305,46 @@ def test_substring(spark, texts, monkeypatch):
     assert all(hashlib.sha256(b" ".join((r["text"] or "").encode().split())).hexdigest() == want[k][2] for k, r in text.items())
 
 
+def joined_rows(spark, since):
+    """Most rows that one join by content of the executions after ``since`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList()
+    most = 0
+    for i in range(found.size()):
+        k = found.apply(i).executionId()
+        if k <= since:
+            continue
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for j in range(nodes.size()):
+            if "Join" in nodes.apply(j).name() and "content" in nodes.apply(j).desc():
+                metrics = nodes.apply(j).metrics()
+                for m in range(metrics.size()):
+                    if metrics.apply(m).name() == "number of output rows":
+                        value = values.get(metrics.apply(m).accumulatorId())
+                        most = max(most, int(value.get().replace(",", "")) if value.isDefined() else 0)
+    return most
+
+
+def test_a_frequent_passage_is_not_joined_row_by_row(spark, monkeypatch):
+    """A passage of 300 texts: its super-k-mers are found next to each other, only the first of every part is joined."""
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(5000)]
+    passage = rng.choices(vocab, k=60)
+    rows = [(i, " ".join(rng.choices(vocab, k=25) + passage)) for i in range(300)]
+    want = brute_repeats(rows)
+    for limit in (50, 4096):  # the smaller one divides the classes into six parts
+        monkeypatch.setattr(substring, "CLASS_ROWS", limit, raising=False)
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        since = max((found.apply(i).executionId() for i in range(found.size())), default=-1)
+        spans = substring.materialize(substring.repeated_spans(frame(spark, rows).selectExpr("doc_id AS id", "text")), "spans")
+        seen = spans.select("id", "at").distinct().count()
+        made = joined_rows(spark, since)
+        assert seen > 1000 and 10 * made < seen
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digest_kept(frame(spark, rows)).collect()}
+        assert got == want
+
+
 def test_equal_windows_have_equal_minimisers():
     hashes = substring.Hashes()
     rng = random.Random(8)
