@@ -1,9 +1,12 @@
 """Forms that stay bounded on larger tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from graphloom.graph import load_graph, make_graph, save_graph, undirected_edges
 from graphloom.operators import match as M
+from graphloom.operators import overlap as O
 from graphloom.operators import recommend as R
 from graphloom.operators.frontier import build_adjacency
 from graphloom.plans import all_queries
@@ -218,3 +221,30 @@ def test_pairs_of_short_features_are_added_up_in_their_task(spark, make, monkeyp
         want = sorted(want)[:20]
         got = R.recommend(g, limit=20, hub_degree=hub).orderBy("rank").collect()
         assert [(-r.score, -r.common_count, r.source_id, r.target_id) for r in got] == want
+
+
+def test_pairs_of_one_group_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Long features, too, are added up where the starts of a block meet each member list once; blocks, steps and pieces of lists cut small."""
+    rng = random.Random(4)
+    has = {n: {rng.choice((rng.randrange(3), rng.randrange(3, 40))) for _ in range(5)} for n in range(80)}
+    weight = {f: 1 / (2 + f) for f in range(40)}
+    big = {n: n % 9 == 0 for n in has}
+    rows = [(0, n, f, weight[f], big[n]) for n, fs in has.items() for f in fs]
+    feats = spark.createDataFrame(rows, "grp int, node long, feat long, w double, big boolean")
+    direct = spark.createDataFrame([(0, 1, 2), (0, 3, 5)], "grp int, a long, b long")
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("pairs are spelled out for a shuffle")
+
+    monkeypatch.setattr(O, "_pairs", refuse)
+    for name, value in (("BLOCK_PAIRS", 200), ("TASK_PAIRS", 50), ("SALT_ROWS", 7)):
+        monkeypatch.setattr(O, name, value, raising=False)
+    for light in (256, 8):
+        got = O.top_pairs(feats, 12, 2, direct, light, one_group=True).orderBy("rank").collect()
+        want = []
+        for a in has:
+            for b in has:
+                both = has[a] & has[b]
+                if a < b and not (big[a] and big[b]) and (a, b) not in ((1, 2), (3, 5)) and len(both) >= 2:
+                    want.append((-round(sum(weight[f] for f in both), 4), -len(both), a, b))
+        assert [(-r.score, -r.common_count, r.a, r.b) for r in got] == sorted(want)[:12]
