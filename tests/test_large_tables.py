@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.graph import load_graph, make_graph, save_graph, undirected_edges
 from graphloom.operators import match as M
 from graphloom.operators import overlap as O
 from graphloom.operators import recommend as R
+from graphloom.operators import search as Q
 from graphloom.operators.frontier import build_adjacency
 from graphloom.plans import all_queries
 
@@ -248,3 +250,31 @@ def test_pairs_of_one_group_are_not_shuffled_one_by_one(spark, monkeypatch):
                 if a < b and not (big[a] and big[b]) and (a, b) not in ((1, 2), (3, 5)) and len(both) >= 2:
                     want.append((-round(sum(weight[f] for f in both), 4), -len(both), a, b))
         assert [(-r.score, -r.common_count, r.a, r.b) for r in got] == sorted(want)[:12]
+
+
+def test_vectors_meet_large_query_packs_and_keep_the_smallest_ids_of_ties(spark, monkeypatch):
+    """Vectors move once per query pack, several packs of them long, and copies of one vector give the smallest ids."""
+    rng = random.Random(6)
+    vectors = [(i, [1.0, 0.0, 0.5] if i % 3 == 0 else [rng.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    vectors += [(60, [0.0, 0.0, 0.0]), (61, [float("nan"), 1.0, 0.0]), (62, [1.0, 0.0]), (63, [1.0, 0.0, 0.5, 9.0])]
+    v = spark.createDataFrame(vectors, "entity_id long, vector array<double>")
+    q = v.where("entity_id < 60").selectExpr("entity_id AS qid", "vector")
+    monkeypatch.setattr(Q, "PACK_ROWS", 16)
+    monkeypatch.setattr(Q, "QUERY_ROWS", 40, raising=False)
+    packs = []
+    keep = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, tag="t", **kw: packs.append(keep(df, tag, **kw)) or packs[-1])
+    got = {}
+    for r in Q.vector_topk(q, v, 4, 0.1, skip_self=True).collect():
+        got.setdefault(r.qid, []).append((-round(r.score, 6), r.id))
+    assert packs[0].count() == 2  # 60 queries, 40 a pack
+
+    def unit(x):
+        x = np.array((x + [0.0] * 3)[:3])
+        size = np.sqrt((x * x).sum())
+        return x / size if size > 0 else x
+
+    units = {i: unit(x) for i, x in vectors}
+    for i, _ in vectors[:60]:
+        want = sorted((-round(float(units[i] @ units[j]), 6), j) for j in units if j != i and units[i] @ units[j] > 0.1)[:4]
+        assert sorted(got.get(i, [])) == want
