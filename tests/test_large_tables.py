@@ -1,6 +1,8 @@
 """Forms that stay bounded on larger tables."""
 
+import os
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from graphloom.operators import recommend as R
 from graphloom.operators import search as Q
 from graphloom.operators.frontier import build_adjacency
 from graphloom.plans import all_queries
+from graphloom.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -291,3 +294,48 @@ def test_judge_prompts_keep_pairs_of_hubs(spark, make, monkeypatch):
     got = {(r["center"], r["rank"]): r["prompt"] for r in P.judge_prompt_texts(spark, "").collect()}
     assert got[1, 1].startswith("J\nA: n1（抽象实体）\nB: n2（抽象实体）\ncommon: c0、c1、c2、c3、c4、c5")
     assert got[2, 1] == got[1, 1] and got[1, 2].startswith("J\nA: n1（抽象实体）\nB: x（抽象实体）\ncommon: c0") and len(got) == 4
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def _settled(read, most):
+    """The value once it is at most ``most``, or after ten seconds: files go in the background."""
+    for _ in range(50):
+        if read() <= most:
+            break
+        time.sleep(0.2)
+    return read()
+
+
+def test_shuffles_of_written_tables_are_removed(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = _shuffle_files(spark), spark.conf.get(name, None)
+    out = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert len(out.collect()) == 7 and spark.conf.get(name, None) == own
+    assert _settled(lambda: _shuffle_files(spark), before) <= before
+
+
+def test_pairs_are_added_up_in_rounds(spark, monkeypatch):
+    """Member lists are dealt to a few ranges of starts at a time; what a step no longer needs is gone at the end."""
+    rng = random.Random(9)
+    has = {n: {rng.choice((rng.randrange(3), rng.randrange(3, 40))) for _ in range(5)} for n in range(80)}
+    feats = spark.createDataFrame([(0, n, f, 1 / (2 + f), n % 9 == 0) for n, fs in has.items() for f in fs], "grp int, node long, feat long, w double, big boolean")
+    for name, value in (("BLOCK_PAIRS", 200), ("ROUND_MEMBERS", 150), ("ROUND_TIMES", 0)):
+        monkeypatch.setattr(O, name, value)
+    written, rounds, write, cut = [], [], O.materialize, O._rounds
+    monkeypatch.setattr(O, "materialize", lambda df, tag="t", **kw: written.append(write(df, tag, **kw)) or written[-1])
+    monkeypatch.setattr(O, "_rounds", lambda *a: rounds.append(cut(*a)) or rounds[-1])
+    want = []
+    for a in has:
+        for b in has:
+            if a < b and not (a % 9 == 0 and b % 9 == 0) and len(has[a] & has[b]) >= 2:
+                want.append((-round(sum(1 / (2 + f) for f in has[a] & has[b]), 4), -len(has[a] & has[b]), a, b))
+    for light in (256, 8):
+        got = O.top_pairs(feats, 12, 2, None, light, one_group=True).orderBy("rank").collect()
+        assert [(-r.score, -r.common_count, r.a, r.b) for r in got] == sorted(want)[:12]
+    assert max(map(len, rounds)) > 2 and all(a[1] < b[0] for r in rounds for a, b in zip(r, r[1:]))
+    left = [t.scratch_path.rsplit("/", 1)[1].split("-")[0] for t in written if os.path.exists(t.scratch_path)]
+    assert set(left) <= {"best", "block_pairs"}
