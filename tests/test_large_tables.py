@@ -339,3 +339,40 @@ def test_pairs_are_added_up_in_rounds(spark, monkeypatch):
     assert max(map(len, rounds)) > 2 and all(a[1] < b[0] for r in rounds for a, b in zip(r, r[1:]))
     left = [t.scratch_path.rsplit("/", 1)[1].split("-")[0] for t in written if os.path.exists(t.scratch_path)]
     assert set(left) <= {"best", "block_pairs"}
+
+
+def _neighbor_graph(make):
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(60)]
+    edges = sorted({(n, "r", m) for n in names for m in [f"h{rng.randrange(4)}", *rng.sample(names, 2)] if m != n})
+    g = make([*names, *[f"h{i}" for i in range(4)]], edges)
+    name = {r.name: r.id for r in g.entities.collect()}
+    nb = {i: set() for i in name.values()}
+    for a, _, b in edges:
+        nb[name[a]].add(name[b])
+        nb[name[b]].add(name[a])
+    best = lambda t, k: sorted((-len(nb[t] & nb[o]) / len(nb[t] | nb[o]), o) for o in nb if o != t and (nb[t] & nb[o] or o in nb[t]))[:k]
+    return g, {t: [(i + 1, o, round(-s, 4)) for i, (s, o) in enumerate(best(t, 4))] for t in nb}
+
+
+def _cut_small(monkeypatch):
+    """Small blocks, rounds and steps; the tags of the tables that the operator writes."""
+    from graphloom.operators import nearest
+
+    for name, value in (("BLOCK_PAIRS", 150), ("TASK_PAIRS", 40), ("SALT_ROWS", 7), ("ROUND_MEMBERS", 60), ("ROUND_TIMES", 0)):
+        monkeypatch.setattr(O, name, value)
+    tags = []
+    for module in (R, nearest):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag="t", keep=keep, **kw: tags.append(tag) or keep(df, tag, **kw))
+    return tags
+
+
+def test_candidates_by_structure_are_ranked_where_they_are_counted(spark, make, monkeypatch):
+    g, want = _neighbor_graph(make)
+    tags = _cut_small(monkeypatch)
+    got = {}
+    for r in R.similar_by_structure(g, g.entities.select("id"), k=4, light_members=6).collect():
+        got.setdefault(r.target, []).append((r["rank"], r.id, r.score))
+    assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v}
+    assert not {"met", "near_top"} & set(tags) and sum(t.startswith("nearest") for t in tags) > 4
