@@ -376,3 +376,15 @@ def test_candidates_by_structure_are_ranked_where_they_are_counted(spark, make,
         got.setdefault(r.target, []).append((r["rank"], r.id, r.score))
     assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v}
     assert not {"met", "near_top"} & set(tags) and sum(t.startswith("nearest") for t in tags) > 4
+
+
+def test_similar_entities_do_not_spell_out_long_neighbors(spark, make, monkeypatch):
+    g, want = _neighbor_graph(make)
+    tags = _cut_small(monkeypatch)
+    monkeypatch.setattr(R, "LIGHT_MEMBERS", 6)
+    monkeypatch.setattr(R.similar_by_structure, "__defaults__", (4, 6, R.HUB_ROWS))
+    got = {}
+    for r in Q.similar_entities(g, g.entities.where("id % 3 = 0").select("id"), 4).collect():
+        got.setdefault(r.target, []).append((r["rank"], r.id, r.score))
+    assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v and t % 3 == 0}
+    assert not {"met", "near_top"} & set(tags)
