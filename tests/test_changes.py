@@ -1,8 +1,11 @@
 import json
+import os
+import time
 
 import pytest
 
 from graphloom import schema as S
+from graphloom.graph import save_graph
 from graphloom.operators import changes as C
 from graphloom.operators import search as Q
 from graphloom.operators import undo as U
@@ -171,3 +174,34 @@ def test_stream_applies_batches_once(spark, make, tmp_path):
     assert sorted(r.title for r in vs.history().collect()) == ["batch k1", "start"]
     assert names(vs.at(2).entities) == {"A", "B", "C"}
     assert {r.batch_key for r in spark.read.parquet(str(tmp_path / "store/refused")).collect()} == {"k2"}
+
+
+def _recorded(monkeypatch):
+    """Tables written by batches, by tag and path."""
+    from graphloom import session
+
+    written = []
+
+    def note(keep):
+        def write(df, tag="t", **kw):
+            out = keep(df, tag, **kw)
+            written.append((tag, out[0] if isinstance(out, tuple) else out))
+            return out
+        return write
+
+    monkeypatch.setattr(C, "materialize", note(C.materialize))
+    monkeypatch.setattr(session, "materialize", note(session.materialize))
+    return written
+
+
+def test_reset_writes_its_log_rows_once(spark, make, monkeypatch):
+    written = _recorded(monkeypatch)
+    n = [f"n{i}" for i in range(30)]
+    g = make(n, [(a, "r", b) for a, b in zip(n, n[1:])])
+    r = C.reset_graph(g, confirm=True)
+    rows = [(tag, t.columns) for tag, t in written if "snapshot" in t.columns]
+    assert rows == [("pos", ["op_type", "snapshot", "_range", "_rn"])]
+    logs = r.graph.op_logs.orderBy("id").collect()
+    assert [x.id for x in logs] == list(range(1, 60)) and r.high_water["op_logs"] == 59
+    assert [x.op_type for x in logs[:4]] == ["DELETE_RELATION", "DELETE_ENTITY", "DELETE_RELATION", "DELETE_ENTITY"]
+    assert '"reason":"级联删除(实体id=1)"' in logs[0].snapshot and '"cascaded_relations":1' in logs[1].snapshot
