@@ -194,6 +194,21 @@ def _recorded(monkeypatch):
     return written
 
 
+def test_a_batch_removes_the_tables_that_only_its_steps_read(spark, make, monkeypatch):
+    written = _recorded(monkeypatch)
+    g = make(["A", "B"], [("A", "r", "B")], aliases=[("B", "bee")])
+    r = C.apply_ops(g, ops(
+        spark,
+        {"op": "add_entity", "name": "New", "category": "抽象实体", "ref": "n", "aliases": ["nu"]},
+        {"op": "add_relation", "source_key_ref": "n", "target_name": "B", "name": "r", "category": "互动"},
+        {"op": "delete_entity", "id": 1},
+    ))
+    left = {tag for tag, t in written if os.path.exists(t.scratch_path)}
+    assert not left & {"uses", "tries", "free_tries", "won", "taken", "life", "new_relations"}
+    assert {(a.entity_id, a.alias) for a in r.graph.aliases.collect()} == {(2, "bee"), (3, "nu")}
+    assert {(x.op, x.cascaded_relations) for x in r.applied.collect()} == {("add_entity", None), ("add_relation", None), ("delete_entity", 1)}
+
+
 def test_reset_writes_its_log_rows_once(spark, make, monkeypatch):
     written = _recorded(monkeypatch)
     n = [f"n{i}" for i in range(30)]
