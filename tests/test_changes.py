@@ -209,6 +209,23 @@ def test_a_batch_removes_the_tables_that_only_its_steps_read(spark, make, monkey
     assert {(x.op, x.cascaded_relations) for x in r.applied.collect()} == {("add_entity", None), ("add_relation", None), ("delete_entity", 1)}
 
 
+def test_a_saved_graph_leaves_no_shuffles(spark, make, tmp_path):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    g = make(["A", "B"], [("A", "r", "B")])
+    before = shuffles()
+    save_graph(g.with_tables(entities=g.entities.distinct(), relations=g.relations.distinct()), str(tmp_path / "g"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
 def test_reset_writes_its_log_rows_once(spark, make, monkeypatch):
     written = _recorded(monkeypatch)
     n = [f"n{i}" for i in range(30)]
